@@ -27,7 +27,7 @@ BITS = 15
 SHAPES = 64  # the last slots, for shape features
 SLOTS = (1 << BITS) + SHAPES
 #: At most about so many rated rows of each grade are learnt from.
-MAX_ROWS_PER_GRADE = 3000
+MAX_ROWS_PER_GRADE = 1000
 
 
 def shape_features(text: str) -> list[int]:
@@ -95,7 +95,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, w
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 32):
             pick = order[at : at + 32]
-            slots = np.concatenate([rows[i][0] for i in pick])
+            slots = np.concatenate([rows[i][0] for i in pick]).astype(np.int64)
             values = np.concatenate([rows[i][1] for i in pick])
             own = np.repeat(np.arange(len(pick)), [len(rows[i][0]) for i in pick])
             s = np.bincount(own, w[slots] * values, minlength=len(pick))
@@ -144,7 +144,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 
     got = texts.join(F.broadcast(sample), "id").mapInArrow(extract, "grade int, slots binary, vals binary").collect()
     got = sorted(got, key=lambda r: (r["grade"], bytes(r["slots"])))
-    rows = [(np.frombuffer(r["slots"], "<u2").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(float)) for r in got]
+    rows = [(np.frombuffer(r["slots"], "<u2"), np.frombuffer(r["vals"], "<f4")) for r in got]
     grades = np.array([r["grade"] for r in got], dtype=np.int64)
     seen = np.bincount(grades, minlength=max(counts) + 1) if len(grades) else np.zeros(1)
     weight = np.array([counts[g] / seen[g] for g in grades])
