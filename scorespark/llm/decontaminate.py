@@ -154,7 +154,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose id has no match."""
     bad = phrase_matches(docs, items, window, id_col, text_col).select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    # these ids grow with the input, so they are never broadcast, at any size
+    return docs.join(bad.hint("shuffle_hash"), docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def op4_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:

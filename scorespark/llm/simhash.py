@@ -254,7 +254,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of rows that share that id one stays. Rows without an id stay."""
     found = stash(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id"), "components")
     gone = found.where("_id <> component_id").select("_id").distinct()
-    kept = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    # the removed ids grow with the input, so they are never broadcast, at any size
+    kept = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_id"], "left_anti")
     twice = found.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull())) if twice else kept
 
