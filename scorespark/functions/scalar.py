@@ -74,12 +74,15 @@ def inverse_normal(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """Spark has no error function."""
+def normal_cdf(z: Column) -> Column:
+    """Spark has no error function. Built when called: a session must be there."""
     from math import erf, sqrt
 
-    return z.map(lambda x: None if x is None or x != x else 0.5 * (1 + erf(x / sqrt(2))))
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None or v != v else 0.5 * (1 + erf(v / sqrt(2))))
+
+    return run(z)
 
 
 def splitmix_uniform(index: Column, seed: int = 0) -> Column:
