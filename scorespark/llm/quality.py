@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_is, hash_share, table, texts_of
+from .common import fold_is, hash_share, stash, table, texts_of
 
 BITS = 15
 SHAPES = 64  # the last slots, for shape features
 SLOTS = (1 << BITS) + SHAPES
 #: At most about so many rated rows of each grade are learnt from.
-MAX_ROWS_PER_GRADE = 1000
+MAX_ROWS_PER_GRADE = 3000
 
 
 def shape_features(text: str) -> list[int]:
@@ -142,8 +142,9 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
                 names=["grade", "slots", "vals"],
             )
 
-    got = texts.join(F.broadcast(sample), "id").mapInArrow(extract, "grade int, slots binary, vals binary").collect()
-    got = sorted(got, key=lambda r: (r["grade"], bytes(r["slots"])))
+    made = stash(texts.join(F.broadcast(sample), "id").mapInArrow(extract, "grade int, slots binary, vals binary"), "quality-sample")
+    # part by part, so that the driver's JVM never holds the whole sample
+    got = sorted(made.toLocalIterator(), key=lambda r: (r["grade"], bytes(r["slots"])))
     rows = [(np.frombuffer(r["slots"], "<u2"), np.frombuffer(r["vals"], "<f4")) for r in got]
     grades = np.array([r["grade"] for r in got], dtype=np.int64)
     seen = np.bincount(grades, minlength=max(counts) + 1) if len(grades) else np.zeros(1)
