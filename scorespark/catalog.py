@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import context, folds, grid, grouping, metrics, trees
+from .operators import boosting, context, folds, grid, grouping, metrics, trees
 from .plans.profile import context_profile
-from .sources import adapters
+from .sources import adapters, smf, store
 from .sources.adapters import LOOSE_NOTES, MIDI_EVENTS, NOTES, ORACLE_BEATS, ORACLE_NOTES, cte
+from .streaming import causal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -635,3 +636,80 @@ _TREES = [
 def tree_score(spark, d):
     n = adapters.notes(spark, d).withColumn("v", F.when(F.col("velocity") % 5 != 0, F.col("velocity")))
     return trees.score(n, _TREES, ["pitch", "v"], base=0.5).select("file_id", "note_id", F.col("score").cast("double").alias("score"))
+
+
+_MIDI_ORACLE = """select file_id, track, row_number() over (partition by file_id, track order by msg_index) - 1 as msg_index, tick, msg_type,
+ case when msg_type <> 'set_tempo' then pitch end as pitch, case when msg_type <> 'set_tempo' then {velocity} end as velocity, case when msg_type = 'set_tempo' then tempo_us end as tempo_us from m"""
+
+
+def _midi_files(spark, d):
+    return smf.encode_files(adapters.midi_events(spark, d).withColumn("raw", smf.raw_of()))
+
+
+def _midi_rows(rows):
+    return rows.where("msg_type <> 'end_of_track'").select("file_id", "track", "msg_index", "tick", "msg_type", "pitch", "velocity", "tempo_us")
+
+
+@_query(_MIDI_ORACLE.format(velocity="velocity"), cte("m", MIDI_EVENTS))
+def smf_roundtrip(spark, d):
+    return _midi_rows(smf.messages(smf.decode_files(_midi_files(spark, d))))
+
+
+@_query(_MIDI_ORACLE.format(velocity="case when msg_type = 'note_on' and velocity > 0 then 64 else velocity end"), cte("m", MIDI_EVENTS))
+def flat_copy(spark, d):
+    """Decoded, flattened, encoded again and decoded again."""
+    flat = smf.flat_copy(smf.messages(smf.decode_files(_midi_files(spark, d))))
+    return _midi_rows(smf.messages(smf.decode_files(smf.encode_files(flat))))
+
+
+@_query(
+    """, moved as (select *, tick + case when msg_type = 'note_on' and velocity > 0 then 12 else 0 end as t,
+ case when msg_type = 'set_tempo' then 0 when msg_type = 'note_on' and velocity > 0 then 3 else 1 end as k from m)
+select file_id, track, row_number() over (partition by file_id, track order by t, k, msg_index) - 1 as msg_index, t as tick, msg_type,
+ case when msg_type <> 'set_tempo' then pitch end as pitch, case when msg_type <> 'set_tempo' then velocity end as velocity, case when msg_type = 'set_tempo' then tempo_us end as tempo_us from moved""",
+    cte("m", MIDI_EVENTS),
+)
+def retimed_file(spark, d):
+    """Note starts 12 ticks later, written and read again."""
+    rows = smf.messages(smf.decode_files(_midi_files(spark, d)))
+    moves = rows.where("msg_type = 'note_on' and velocity > 0").select("file_id", "track", "msg_index", (F.col("tick") + 12).alias("new_tick"))
+    return _midi_rows(smf.messages(smf.decode_files(smf.encode_files(smf.retime(rows, moves)))))
+
+
+@_query(
+    """select file_id, cast(note_idx as int) as note_idx, pitch, velocity, case when file_id % 10 < 7 then 'train' when file_id % 10 < 8 then 'validation' else 'test' end as split from c""",
+    ORACLE_NOTES,
+)
+def feature_store_roundtrip(spark, d):
+    """Built in two steps, the second of which skips the files that are there."""
+    f = _canonical(spark, d).withColumn("split", metrics.split_of(F.col("file_id"))).select("file_id", "note_idx", "pitch", "velocity", "split")
+    path = store.shared_folder(spark, "features")
+    store.build(f.where("split = 'test'"), path, {"version": 1})
+    store.build(f, path, {"version": 1})
+    return store.read(spark, path, ["file_id", "note_idx", "pitch", "velocity", "split"])
+
+
+@_query(
+    """select a.file_id, a.note_id, cast(count(*) filter (where (b.onset_s, b.pitch, b.note_id) <= (a.onset_s, a.pitch, a.note_id) and b.onset_s >= a.onset_s - cast(3 as double)) as int) as trailing
+ from loose a join loose b on a.file_id = b.file_id group by a.file_id, a.note_id""",
+    cte("loose", LOOSE_NOTES),
+)
+def causal_trailing_count(spark, d):
+    return causal.batch_counts(adapters.loose_notes(spark, d))
+
+
+def _learnt(spark, d, quantile):
+    n = _with_split(spark, d).select("file_id", "note_id", "split", "pitch", "velocity", "onset_s", "pred")
+    grown, base = boosting.train(n.where("split = 'train'"), ["pitch", "pred", "onset_s"], "velocity", rounds=8, depth=4, rate=0.3, quantile=quantile)
+    return trees.score(n, grown, ["pitch", "pred", "onset_s"], base).select("file_id", "note_id", F.col("score").cast("double").alias("score"))
+
+
+@_query()
+def gbt_train_predict(spark, d):
+    return _learnt(spark, d, None)
+
+
+@_query()
+def quantile_forest(spark, d):
+    """The 0.9 quantile."""
+    return _learnt(spark, d, 0.9)
