@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import boosting, context, folds, grid, grouping, metrics, trees
+from .operators import boosting, context, folds, grid, grouping, metrics, sampling, tracking, trees
 from .plans.profile import context_profile
 from .sources import adapters, smf, store
 from .sources.adapters import LOOSE_NOTES, MIDI_EVENTS, NOTES, ORACLE_BEATS, ORACLE_NOTES, cte
@@ -713,3 +713,37 @@ def gbt_train_predict(spark, d):
 def quantile_forest(spark, d):
     """The 0.9 quantile."""
     return _learnt(spark, d, 0.9)
+
+
+@_query()
+def beat_tracking(spark, d):
+    return tracking.track_beats(adapters.notes(spark, d))
+
+
+_LEVELS = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
+
+
+def _forecasts(spark, d):
+    """Canonical notes with quantile forecasts of ``velocity`` around ``pred``."""
+    c = _canonical(spark, d).withColumn("beat", F.col("group_id") / 2)
+    return c.withColumn("q", F.array(*(F.col("pred") + F.lit(x) for x in (-60.0, -45.0, -20.0, 0.0, 20.0, 45.0, 60.0))))
+
+
+@_query(
+    """, k as (select *, cast(velocity - pred as double) as y from c)
+select file_id, note_id, round(greatest(cast(-3.5 as double), least(cast(3.5 as double), case
+ when y <= -45 then -Z95 + (y + 60)/15*(Z95 - Z90) when y <= -20 then -Z90 + (y + 45)/25*(Z90 - Z75) when y <= 0 then -Z75 + (y + 20)/20*Z75
+ when y <= 20 then y/20*Z75 when y <= 45 then Z75 + (y - 20)/25*(Z90 - Z75) else Z90 + (y - 45)/15*(Z95 - Z90) end)), 6) as z from k""".replace("Z95", repr(scalar.inverse_normal(0.95)) + "::double").replace("Z90", repr(scalar.inverse_normal(0.9)) + "::double").replace("Z75", repr(scalar.inverse_normal(0.75)) + "::double"),
+    ORACLE_NOTES,
+)
+def normal_scores(spark, d):
+    z = sampling.normal_score(F.col("q"), _LEVELS, F.col("velocity").cast("double"))
+    return _forecasts(spark, d).select("file_id", "note_id", F.round(z, 6).alias("z"))
+
+
+@_query()
+def copula_takes(spark, d):
+    """The sampler is fitted on all notes and draws one take of them."""
+    f = _forecasts(spark, d)
+    copula = sampling.fit(f.withColumn("z", sampling.normal_score(F.col("q"), _LEVELS, F.col("velocity").cast("double"))))
+    return sampling.sample_offsets(f, "q", _LEVELS, copula, seed=1).select("file_id", "note_id", "latent", "sampled")
