@@ -153,18 +153,21 @@ prof as (select c.file_id, c.group_id, min(c.onset_s) as g_time, count(*) as n,
  max(held.held) as held from c join held using (file_id, group_id) group by c.file_id, c.group_id)"""
 
 
-def _window_oracle(width: float, causal: bool) -> str:
-    frame = f"(partition by file_id order by g_time range between cast({width} as double) preceding and {'current row' if causal else f'cast({width} as double) following'})"
+def _window_oracle(width: float, causal: bool, order: str = "g_time", source: str = "prof") -> str:
+    frame = f"(partition by file_id order by {order} range between cast({width} as double) preceding and {'current row' if causal else f'cast({width} as double) following'})"
     total = width if causal else 2 * width
     return f"""select file_id, cast(group_id as int) as group_id, cast(sum(n) over {frame} as bigint) as w_notes, round(cast(sum(n) over {frame} as double)/cast({total} as double), 6) as note_density,
  round(cast(count(*) over {frame} as double)/cast({total} as double), 6) as onset_density, round(cast(sum(p_sum) over {frame} as double)/sum(n) over {frame}, 6) as mean_pitch,
  max(p_max) over {frame} - min(p_min) over {frame} as pitch_range, cast(sum(dur_us) over {frame} as bigint) as w_dur_us,
- round(cast(sum((held + n)*n) over {frame} as double)/sum(n) over {frame}, 6) as mean_polyphony from prof"""
+ round(cast(sum((held + n)*n) over {frame} as double)/sum(n) over {frame}, 6) as mean_polyphony from {source}"""
 
 
-def _window_query(width: float, causal: bool):
+def _window_query(width: float, causal: bool, beats: bool = False):
     def run(spark, d):
-        got = context.window_stats(context.group_profile(_canonical(spark, d)), width, causal=causal)
+        prof = context.group_profile(_canonical(spark, d))
+        if beats:
+            prof = prof.join(_positions(spark, d).select("file_id", "group_id", F.col("beat_pos").alias("g_beat")), ["file_id", "group_id"])
+        got = context.window_stats(prof, width, "g_beat" if beats else "g_time", causal)
         return got.select("file_id", "group_id", "w_notes", *(_r(c).alias(c) for c in ("note_density", "onset_density", "mean_pitch")), "pitch_range", "w_dur_us", _r("mean_polyphony").alias("mean_polyphony"))
 
     return run
@@ -186,6 +189,13 @@ def _positions(spark, d) -> DataFrame:
     return grid.time_to_beat(grouping.groups(_canonical(spark, d)), adapters.beats(spark, d), "g_time")
 
 
+for _w, _tag in ((1.0, "1b"), (2.0, "2b"), (4.0, "4b")):
+    for _causal in (False, True):
+        _name = f"{'causal' if _causal else 'range'}_window_stats_{_tag}"
+        QUERIES[_name] = _window_query(_w, _causal, beats=True)
+        ORACLES[_name] = f"with {ORACLE_NOTES}, {_PROFILE}, {ORACLE_BEATS}, {_BEAT_OF} {_window_oracle(_w, _causal, 'beat_pos', '(select p.*, q.beat_pos from prof p join pos q on q.file_id = p.file_id and q.group_id = p.group_id) pb')}"
+
+
 @_query(
     """select file_id, cast(group_id as int) as group_id, round(beat_pos, 6) as beat_pos, round(g_time, 6) as back_s from pos""",
     ORACLE_NOTES,
@@ -747,3 +757,22 @@ def copula_takes(spark, d):
     f = _forecasts(spark, d)
     copula = sampling.fit(f.withColumn("z", sampling.normal_score(F.col("q"), _LEVELS, F.col("velocity").cast("double"))))
     return sampling.sample_offsets(f, "q", _LEVELS, copula, seed=1).select("file_id", "note_id", "latent", "sampled")
+
+
+@_query(
+    """, ends as (select file_id, group_id, max(greatest(offset_s, onset_s)) as g_off from c group by file_id, group_id),
+s0 as (select p.file_id, p.group_id, p.g_time, p.beat_pos as b, p.g_size as n, max(e.g_off) over (partition by p.file_id order by p.group_id) as sound_end from pos p join ends e on e.file_id = p.file_id and e.group_id = p.group_id),
+s1 as (select *, case when lag(g_time) over w is null or g_time - lag(sound_end) over w >= cast(0.2 as double)
+ or (b - lag(b) over w >= cast(1.5 as double) and g_time - lag(g_time) over w >= cast(0.35 as double)) then 1 else 0 end as first from s0 window w as (partition by file_id order by group_id)),
+s2 as (select *, sum(first) over (partition by file_id order by group_id) as seg from s1)
+select file_id, cast(group_id as int) as group_id, cast(seg as bigint) as phrase_seg, round(b - min(b) over ph, 6) as time_since_phrase_start_beats, round(max(b) over ph - min(b) over ph, 6) as phrase_length_beats,
+ round(case when max(b) over ph > min(b) over ph then (b - min(b) over ph)/(max(b) over ph - min(b) over ph) end, 6) as phrase_pos_norm,
+ cast(sum(n) over ph as bigint) as phrase_notes from s2 window ph as (partition by file_id, seg)""",
+    ORACLE_NOTES,
+    ORACLE_BEATS,
+    _BEAT_OF,
+)
+def phrases_in_beats(spark, d):
+    c = _canonical(spark, d).join(_positions(spark, d).select("file_id", "group_id", F.col("beat_pos").alias("g_beat")), ["file_id", "group_id"])
+    s = context.segments(c, beats=True)
+    return s.select("file_id", "group_id", "phrase_seg", *(_r(x).alias(x) for x in ("time_since_phrase_start_beats", "phrase_length_beats", "phrase_pos_norm")), "phrase_notes")
