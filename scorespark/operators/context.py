@@ -56,10 +56,10 @@ def onsets_within(c: DataFrame, tolerance_s: float = grouping.TOLERANCE_S) -> Da
     return c.withColumn("n_onsets_within_tol", _range("count(1)", "onset_s", f"{tolerance_s}D preceding", f"{tolerance_s}D following"))
 
 
-def nearest_notes(c: DataFrame, n: int) -> DataFrame:
+def nearest_notes(c: DataFrame, n: int, causal: bool = False) -> DataFrame:
     """Median, mean, range, percentile rank of pitch and time per note among the ``n`` notes
-    on either side. Needs g_time."""
-    w = Window.partitionBy("file_id").orderBy("note_idx").rowsBetween(-n, n)
+    on either side (causal: before). Needs g_time."""
+    w = Window.partitionBy("file_id").orderBy("note_idx").rowsBetween(-n, 0 if causal else n)
     pitches = F.collect_list("pitch").over(w)
     valid = F.count("*").over(w)
     tagged = c.select("*", pitches.alias("_win"), valid.alias("_valid"), F.sum("pitch").over(w).alias("_sum"), (F.max("g_time").over(w) - F.min("g_time").over(w)).alias("_span"))
