@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar
 from .operators import boosting, context, folds, grid, grouping, metrics, sampling, tracking, trees
+from .plans import features
 from .plans.profile import context_profile
 from .sources import adapters, smf, store
 from .sources.adapters import LOOSE_NOTES, MIDI_EVENTS, NOTES, ORACLE_BEATS, ORACLE_NOTES, cte
@@ -776,3 +777,97 @@ def phrases_in_beats(spark, d):
     c = _canonical(spark, d).join(_positions(spark, d).select("file_id", "group_id", F.col("beat_pos").alias("g_beat")), ["file_id", "group_id"])
     s = context.segments(c, beats=True)
     return s.select("file_id", "group_id", "phrase_seg", *(_r(x).alias(x) for x in ("time_since_phrase_start_beats", "phrase_length_beats", "phrase_pos_norm")), "phrase_notes")
+
+
+# --- all columns -----------------------------------------------------------------------
+
+
+def _features_oracle(causal: bool) -> str:
+    """Every column from joins and windows over DuckDB's own tables, none shared with the plan."""
+    end = "current row" if causal else "cast({0} as double) following"
+    by = "(partition by file_id order by group_id)"
+    windows, note_side = [], []
+    for tag, width, order in features.window_tags(features.Settings(causal=causal)):
+        f = f"over (partition by file_id order by {order} range between cast({width} as double) preceding and {end.format(width)})"
+        total = f"cast({width if causal else 2 * width} as double)"
+        windows += [
+            f"sum(n) {f}/{total} as {tag}_note_density", f"count(*) {f}/{total} as {tag}_onset_density", f"cast(sum(p_sum) {f} as double)/sum(n) {f} as {tag}_mean_pitch",
+            f"max(p_max) {f} - min(p_min) {f} as {tag}_pitch_range", f"sum(dur_sum) {f}/sum(n) {f} as {tag}_mean_dur", f"cast(sum((held + n)*n) {f} as double)/sum(n) {f} as {tag}_mean_polyphony",
+        ]
+        note_side.append(f"pitch - {tag}_mean_pitch as {tag}_pitch_rel_mean")
+    for k in (8, 32):
+        f = f"over (partition by file_id order by note_idx rows between {k} preceding and {'current row' if causal else f'{k} following'})"
+        note_side += [
+            f"pitch - median(pitch) {f} as n{k}_pitch_rel_median", f"pitch - cast(sum(pitch) {f} as double)/count(*) {f} as n{k}_pitch_rel_mean", f"max(pitch) {f} - min(pitch) {f} as n{k}_pitch_range",
+            f"cast(len(list_filter(list(pitch) {f}, lambda v: v < pitch)) as double)/count(*) {f} as n{k}_pitch_pct",
+            f"case when count(*) {f} > 1 then (max(g_time) {f} - min(g_time) {f})/(count(*) {f} - 1) end as n{k}_time_per_note",
+        ]
+    near = _NEAR.replace("b.pitch as n_pitch", "b.pitch as n_pitch, b.dur_s as n_dur")
+    tol = "cast(0.12 as double)"
+    ctes = f"""{ORACLE_NOTES}, {ORACLE_BEATS}, {_BEAT_OF},
+bi as (select beat, coalesce(lead(time_s) over (order by beat) - time_s, time_s - lag(time_s) over (order by beat)) as ibi from (select distinct beat, time_s from beats)),
+tp as (select b.beat, cast(60 as double)/median(x.ibi) as tempo from bi b cross join (values (-2), (-1), (0), (1), (2)) k(k) join bi x on x.beat = greatest(0, least(31, b.beat + k.k)) group by b.beat),
+nb as (select c.file_id, c.note_idx, s.beat + (c.onset_s - s.time_s)/(s.next_s - s.time_s) as on_b, e.beat + (c.offset_s - e.time_s)/(e.next_s - e.time_s) as off_b from c
+ join seg s on s.file_id = c.file_id and s.next_s is not null and (c.onset_s >= s.time_s or s.beat = 0) and (c.onset_s < s.next_s or s.beat = 30)
+ join seg e on e.file_id = c.file_id and e.next_s is not null and (c.offset_s >= e.time_s or e.beat = 0) and (c.offset_s < e.next_s or e.beat = 30)),
+{_PROFILE.replace("as dur_us,", "as dur_us, sum(dur_s) as dur_sum, sum(pitch*pitch) as p_sq, max(offset_s) as g_off, min(note_idx) as first_idx,")},
+pb as (select p.*, q.beat_pos as g_beat, max(g_off) over (partition by p.file_id order by p.group_id rows between unbounded preceding and current row) as sound_end from prof p join pos q on q.file_id = p.file_id and q.group_id = p.group_id),
+pg as (select *, g_time - lag(g_time) over {by} as ioi_prev_s, g_beat - lag(g_beat) over {by} as ioi_prev_beats, lead(g_time) over {by} - g_time as ioi_next_s, lead(g_beat) over {by} - g_beat as ioi_next_beats,
+ avg(p_max) over (partition by file_id order by group_id rows between 2 preceding and 1 preceding) as before, avg(p_max) over (partition by file_id order by group_id rows between 1 following and 2 following) as after,
+ coalesce(g_time - lag(sound_end) over {by} >= cast(0.2 as double), true) as rs from pb),
+pf as (select *, rs or (ioi_prev_beats >= cast(1.5 as double) and ioi_prev_s >= cast(0.35 as double)) as ps from pg),
+ps as (select *, sum(case when rs then 1 else 0 end) over {by} as rseg, sum(case when ps then 1 else 0 end) over {by} as pseg from pf),
+pw as (select *, g_time - min(g_time) over (partition by file_id, rseg) as time_since_rest_s, max(sound_end) over (partition by file_id, rseg) - g_time as time_to_rest_s,
+ g_beat - min(g_beat) over (partition by file_id, pseg) as since, max(g_beat) over (partition by file_id, pseg) - g_beat as till, min(first_idx) over (partition by file_id, pseg) as ph_first,
+ max(first_idx + n) over (partition by file_id, pseg) as ph_end, min(g_time) over (partition by file_id) as begin_s, max(g_time) over (partition by file_id) as last_s,
+ sum(n) over (partition by file_id order by g_beat range between cast(1 as double) preceding and current row) - n as notes_in_prev_beat,
+ sum(n) over (partition by file_id order by g_beat range between current row and cast(1 as double) following) - n as notes_in_next_beat,
+ cast(greatest(0, least(31, floor(g_beat))) as int) as bi, cast(greatest(0, least(31, round_even(g_beat, 0))) as int) as rb, g_beat - floor(g_beat) as frac,
+ {", ".join(windows)} from ps),
+pc as (select file_id, min(onset_s) as lo, max(offset_s) as hi, greatest(max(offset_s) - min(onset_s), cast(0.001 as double)) as secs, count(*) as pn, avg(pitch) as pmean, stddev_pop(pitch) as pstd from c group by file_id),
+pq as (select pc.*, (select median(tp.tempo) from tp join bi on tp.beat = bi.beat join (select distinct beat, time_s from beats) z on z.beat = tp.beat where z.time_s between pc.lo and pc.hi) as tmid, y.mpoly, y.mchord
+ from pc join (select file_id, cast(sum((held + n)*n) as double)/sum(n) as mpoly, cast(sum(n) as double)/count(*) as mchord from pb group by file_id) y on y.file_id = pc.file_id),
+{near.format(step=-1)}, {near.format(step=1).replace("near as", "near2 as")},
+sp as (select file_id, note_idx, onset_s - lag(onset_s) over (partition by file_id, pitch order by onset_s, note_idx) as spp, lead(onset_s) over (partition by file_id, pitch order by onset_s, note_idx) - onset_s as spn,
+ count(*) over (partition by file_id order by onset_s range between cast(0.035 as double) preceding and cast(0.035 as double) following) as tolc from c),
+a as (select c.note_id, c.note_idx, c.onset_s, c.pitch, c.dur_s, pw.*, t.tempo, nb.on_b, nb.off_b, pq.* exclude (file_id), p.n_pitch as pp, p.n_dur as pd, x.n_pitch as xp, x.n_dur as xd, sp.spp, sp.spn, sp.tolc,
+ (select count(*) from range(0, cast(bi as bigint) + 1) r(b) where b % 4 = 0) as measure,
+ case when abs(g_beat - round_even(g_beat, 0)) <= {tol} then case rb % 4 when 0 then 0 when 2 then 1 else 2 end when abs(frac*2 - round_even(frac*2, 0))/cast(2 as double) <= {tol} then 3
+  when abs(frac*3 - round_even(frac*3, 0))/cast(3 as double) <= cast(0.06 as double) or abs(frac*4 - round_even(frac*4, 0))/cast(4 as double) <= cast(0.06 as double) then 4 else 5 end as level
+ from c join pw on pw.file_id = c.file_id and pw.group_id = c.group_id join tp t on t.beat = pw.bi join nb on nb.file_id = c.file_id and nb.note_idx = c.note_idx join pq on pq.file_id = c.file_id
+ join sp on sp.file_id = c.file_id and sp.note_idx = c.note_idx
+ left join (select * from near where k = 1) p on p.file_id = c.file_id and p.note_idx = c.note_idx left join (select * from near2 where k = 1) x on x.file_id = c.file_id and x.note_idx = c.note_idx),
+z as (select *, {", ".join(note_side)} from a)"""
+    own = {
+        "pitch": "pitch", "pitch_class": "pitch % 12", "octave": "pitch // 12 - 1", "beat_in_measure": "bi % 4 + frac", "beat_in_measure_norm": "(bi % 4 + frac)/4", "beat_frac": "frac",
+        "metrical_level": "level", "on_beat": f"abs(g_beat - round_even(g_beat, 0)) <= {tol}", "strong_beat": "level <= 1", "is_downbeat": "level = 0", "dur_s": "dur_s", "dur_beats": "greatest(off_b - on_b, 0)",
+        "onset_beat": "g_beat", "beat_index": "floor(g_beat)", "local_tempo_bpm": "tempo", "ts_num": "4", "ts_den": "4", "prev_interval": "pitch - pp", "abs_prev_interval": "abs(pitch - pp)",
+        "ioi_prev_s": "ioi_prev_s", "ioi_prev_beats": "ioi_prev_beats", "prev_dur_s": "pd", "dur_ratio_prev": "log2((dur_s + cast(0.01 as double))/(pd + cast(0.01 as double)))",
+        "next_interval": "xp - pitch", "abs_next_interval": "abs(xp - pitch)", "ioi_next_s": "ioi_next_s", "ioi_next_beats": "ioi_next_beats", "next_dur_s": "xd",
+        "melodic_direction": "coalesce(sign(pitch - pp), 0)" + ("" if causal else " + coalesce(sign(xp - pitch), 0)"), "is_local_peak": "coalesce(pitch > pp and xp < pitch, false)",
+        "is_local_trough": "coalesce(pitch < pp and xp > pitch, false)", "top_line_trend": "p_max - before" if causal else "after - before", "same_pitch_prev_dt": "spp", "same_pitch_next_dt": "spn",
+        "chord_size": "n", "n_onsets_within_tol": "tolc", "held_notes_at_onset": "held", "polyphony_at_onset": "held + n", "chord_highest": "p_max", "chord_lowest": "p_min", "chord_span": "p_max - p_min",
+        "chord_pos_norm": "case when p_max > p_min then cast(pitch - p_min as double)/(p_max - p_min) end", "dist_from_chord_top": "p_max - pitch", "dist_from_chord_bottom": "pitch - p_min",
+        "chord_rank_from_top": "first_idx + n - 1 - note_idx", "chord_rank_from_bottom": "note_idx - first_idx", "is_chord_top": "first_idx + n - 1 = note_idx", "is_chord_bottom": "note_idx = first_idx",
+        "measure_number": "measure", "time_since_phrase_start_beats": "since", "notes_since_phrase_start": "note_idx - ph_first", "phrase_pos_norm": "case when since + till > 0 then since/(since + till) end",
+        "time_to_phrase_end_beats": "till", "phrase_length_beats": "since + till", "notes_to_phrase_end": "ph_end - 1 - note_idx",
+        "rel_position": "(g_time - begin_s)/greatest(last_s - begin_s, cast(0.000001 as double))", "piece_duration_s": "secs", "piece_note_rate": "pn/secs", "piece_mean_pitch": "pmean", "piece_pitch_std": "pstd",
+        "piece_mean_polyphony": "mpoly", "piece_mean_chord_size": "mchord", "piece_median_tempo_bpm": "tmid", "pitch_rel_piece_mean": "pitch - pmean",
+    }
+    ahead = ("next_", "abs_next", "ioi_next", "is_local", "same_pitch_next", "time_to_", "phrase_", "notes_to_", "rel_position", "piece_", "pitch_rel_piece", "notes_in_next")
+    same = [x.split(" as ")[-1] for x in windows + note_side] + ["notes_in_prev_beat", "notes_in_next_beat", "time_since_rest_s", "time_to_rest_s"]
+    shown = {k: v for k, v in (own | {x: x for x in same}).items() if not (causal and k.startswith(ahead))}
+    return f"with {ctes} select file_id, note_id, cast(group_id as int) as group_id, " + ", ".join(f"round(cast(cast({v} as float) as double), 4) as {k}" for k, v in shown.items()) + " from z"
+
+
+def _features_query(causal: bool):
+    def run(spark, d):
+        t = features.feature_table(adapters.notes(spark, d), adapters.beats(spark, d), features.Settings(causal=causal))
+        return t.select("file_id", "note_id", "group_id", *(F.round(F.col(x).cast("double"), 4).alias(x) for x in t.columns[6:]))
+
+    return run
+
+
+for _causal in (False, True):
+    _name = "feature_table_causal" if _causal else "feature_table"
+    QUERIES[_name], ORACLES[_name] = _features_query(_causal), _features_oracle(_causal)
