@@ -91,22 +91,26 @@ def _chords(n: DataFrame, s: Settings) -> DataFrame:
     """One row a chord, its notes an array in canonical order."""
     extra = [x for x in n.columns if x.startswith(("same_", "n_onsets"))] + [f"n{k}" for k in s.nearest]
     note = F.struct("note_idx", "note_id", "onset_s", "pitch", "dur_s", "on_b", "off_b", *extra)
-    return n.groupBy("file_id", "group_id").agg(
-        F.min("onset_s").alias("g_time"),
-        F.min("on_b").alias("g_beat"),
-        F.min_by("seg", "onset_s").alias("seg"),
-        F.min_by("released", "onset_s").alias("released"),
-        F.min("tempo_mid").alias("tempo_mid"),
-        F.min("note_idx").alias("first_idx"),
-        F.count("*").alias("n"),
-        F.sum("pitch").alias("p_sum"),
-        F.sum(F.col("pitch") * F.col("pitch")).alias("p_sq"),
-        F.min("pitch").alias("p_min"),
-        F.max("pitch").alias("p_max"),
-        F.sum("dur_s").alias("dur_sum"),
-        F.max("offset_s").alias("g_off"),
-        F.sort_array(F.collect_list(note)).alias("notes"),
-    )
+    # one sort by chord, and the chord's first row stands for it: cheaper than an object aggregate
+    w = Window.partitionBy("file_id", "group_id").orderBy("note_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    folded = {
+        "g_time": F.min("onset_s"),
+        "g_beat": F.min("on_b"),
+        "seg": F.min_by("seg", "onset_s"),
+        "released": F.min_by("released", "onset_s"),
+        "first_idx": F.min("note_idx"),
+        "n": F.count("*"),
+        "p_sum": F.sum("pitch"),
+        "p_sq": F.sum(F.col("pitch") * F.col("pitch")),
+        "p_min": F.min("pitch"),
+        "p_max": F.max("pitch"),
+        "dur_sum": F.sum("dur_s"),
+        "g_off": F.max("offset_s"),
+        "notes": F.collect_list("_note"),
+    }
+    g = n.select("file_id", "group_id", "note_idx", "onset_s", "offset_s", "pitch", "dur_s", "on_b", "seg", "released", "tempo_mid", note.alias("_note"))
+    g = g.select("file_id", "group_id", "note_idx", "tempo_mid", *(e.over(w).alias(k) for k, e in folded.items()))
+    return g.where("note_idx = first_idx").drop("note_idx")
 
 
 def _nearest(keys: Column, pitch: Column) -> Column:
