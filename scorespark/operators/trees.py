@@ -51,6 +51,20 @@ def score(df: DataFrame, trees: list[Tree], features: list[str], base: float = 0
     return df.withColumn(out, run(*inputs))
 
 
+def score_outputs(df: DataFrame, trees: list[Tree], features: list[str], outputs: int, base: float = 0.0, ascending: bool = False, out: str = "scores") -> DataFrame:
+    """Adds an array<float> with every output's score; ``ascending`` sorts it, so that
+    quantiles never cross."""
+    shared = df.sparkSession.sparkContext.broadcast(trees)  # a model, whatever the rows
+
+    @F.pandas_udf("array<float>")
+    def run(*cols: pd.Series) -> pd.Series:
+        got = predict(shared.value, np.stack([c.to_numpy(dtype=float, na_value=np.nan) for c in cols], 1), base, outputs)
+        return pd.Series(list(np.sort(got, axis=1) if ascending else got))
+
+    inputs: list[Column] = [F.col(f).cast("double") for f in features]
+    return df.withColumn(out, run(*inputs))
+
+
 def guard_inputs(columns: list[str], experiment: str = "primary", timing: bool = False) -> None:
     """Refuses columns that would leak the target into a model."""
     targets = {"velocity", "baseline_velocity", "velocity_delta"}
