@@ -1,7 +1,10 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-DataFrame and SQL functions only. The index stores postings of training tokens: term,
-document, position, and the tokens around it as far as a window reaches. Of each test
+DataFrame and SQL functions only. The index stores postings of training tokens (as a table
+in the shared folder, so a lost executor costs a reread of it, not of the corpus): term,
+document, position, and the tokens around it as far as a window reaches. Only terms that
+are looked up have postings, and the tokens around stand for the other terms' lists: what
+an intersection needs lies in one row, and frequent terms' lists are never moved. Of each test
 window the rarest term (by its count over the whole corpus) is looked up; its postings,
 moved by the term's place in the window, are the places where the window could begin;
 the window's other terms, from the next rarest on, are intersected with the posting's
@@ -97,7 +100,7 @@ def _matches(docs: DataFrame, windows: DataFrame, reach, accept, id_col: str, te
     anchors = anchored(docs, windows, text_col, block_terms)
     out = None
     for block in _blocks(anchors, block_terms):
-        index = postings(docs, block, reach, id_col, text_col)
+        index = stash(postings(docs, block, reach, id_col, text_col), "postings")
         hit = accept(index.join(anchors.where(F.col("term").isin(block)), "term"))
         out = hit if out is None else out.unionByName(hit)
     if out is None:
