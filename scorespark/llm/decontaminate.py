@@ -63,9 +63,8 @@ def _blocks(df: DataFrame, size: int) -> list[list[str]]:
             yield got
 
 
-def postings(docs: DataFrame, terms: list[str], reach: int, id_col: str, text_col: str) -> DataFrame:
-    """term, id, pos (from 0), around (tokens from pos - reach to pos + reach), left
-    (tokens in it before pos): the positional index of the given terms."""
+def index_of(docs: DataFrame, terms: list[str], reach: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n_words, spots: the positional index of the given terms, one row a document."""
     w = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(terms), i)), lambda i: i.isNotNull())
     spot = F.transform(
@@ -77,7 +76,13 @@ def postings(docs: DataFrame, terms: list[str], reach: int, id_col: str, text_co
             F.least(i, F.lit(reach)).alias("left"),
         ),
     )
-    return w.select("id", F.explode(spot).alias("p")).select("p.term", "id", "p.pos", "p.around", "p.left")
+    return w.select("id", F.size("w").cast("long").alias("n_words"), spot.alias("spots"))
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """term, id, pos (from 0), around (tokens from pos - reach to pos + reach), left
+    (tokens in it before pos)."""
+    return index.select("id", F.explode("spots").alias("p")).select("p.term", "id", "p.pos", "p.around", "p.left")
 
 
 def anchored(docs: DataFrame, windows: DataFrame, text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
@@ -96,22 +101,23 @@ def anchored(docs: DataFrame, windows: DataFrame, text_col: str = "text", block_
     return stash(rare.where(F.col("have") == F.size("terms")).select("item_id", "terms", "r.term", "r.at"), "anchors")
 
 
-def _matches(docs: DataFrame, windows: DataFrame, reach, accept, id_col: str, text_col: str, block_terms: int) -> DataFrame:
+def _matches(docs: DataFrame, windows: DataFrame, reach, accept, id_col: str, text_col: str, block_terms: int) -> tuple[DataFrame, DataFrame]:
+    """The matches, and id, n_words of every document."""
     anchors = anchored(docs, windows, text_col, block_terms)
-    out = None
+    out, sizes = None, None
     for block in _blocks(anchors, block_terms):
-        index = stash(postings(docs, block, reach, id_col, text_col), "postings")
-        hit = accept(index.join(anchors.where(F.col("term").isin(block)), "term"))
+        index = stash(index_of(docs, block, reach, id_col, text_col), "postings")
+        sizes = index.select("id", "n_words") if sizes is None else sizes
+        hit = accept(postings(index).join(anchors.where(F.col("term").isin(block)), "term"))
         out = hit if out is None else out.unionByName(hit)
     if out is None:
         kind = dict(docs.dtypes)[id_col]
-        return docs.sparkSession.createDataFrame([], f"id {kind}, item_id {dict(windows.dtypes)['item_id']}, start int, length int")
-    return stash(out, "matches")
+        none = docs.sparkSession.createDataFrame([], f"id {kind}, item_id {dict(windows.dtypes)['item_id']}, start int, length int")
+        return none, docs.select(F.col(id_col).alias("id"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    return stash(out, "matches"), sizes
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """id, item_id, start, length: every occurrence of every window."""
-
+def _phrases(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str, block_terms: int) -> tuple[DataFrame, DataFrame]:
     def accept(pairs):
         begin = F.col("left") - F.col("at")
         ok = (begin >= 0) & (F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
@@ -120,6 +126,11 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_c
     return _matches(docs, windows_of(items, window), window - 1, accept, id_col, text_col, block_terms)
 
 
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """id, item_id, start, length: every occurrence of every window."""
+    return _phrases(docs, items, window, id_col, text_col, block_terms)[0]
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = 15, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
     """id, item_id, start, length: runs of ``span`` tokens (at a text's end: fewer) with all
     the distinct terms of a window, in any order; of overlapping runs around one rare
@@ -131,15 +142,16 @@ def proximity_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, s
         got = pairs.withColumn("s", F.element_at(F.when(F.size(runs) > 0, runs), 1)).where("s is not null")
         return got.select("id", "item_id", (F.col("pos") - F.col("left") + F.col("s")).alias("start"), F.least(F.lit(span), F.size("around") - F.col("s")).alias("length"))
 
-    return _matches(docs, windows_of(items, window), span - 1, accept, id_col, text_col, block_terms)
+    return _matches(docs, windows_of(items, window), span - 1, accept, id_col, text_col, block_terms)[0]
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
     """id, n_words, n_hit (words inside any match), n_items, items_sha256, contaminated."""
-    hits = phrase_matches(docs, items, window, id_col, text_col, block_terms).distinct()
+    matches, sizes = _phrases(docs, items, window, id_col, text_col, block_terms)
+    hits = matches.distinct()
     places = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "length")), lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
     found = hits.groupBy("id").agg(places.alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumnRenamed("id", "_hit_id")
-    sized = docs.select(F.col(id_col), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    sized = sizes.withColumnRenamed("id", id_col)
     joined = sized.join(found, sized[id_col].eqNullSafe(found["_hit_id"]), "left")
     # rows that share an id but not a text: none has more hits than words
     n_hit = F.least(F.coalesce(F.col("n_hit"), F.lit(0)).cast("long"), F.col("n_words"))
