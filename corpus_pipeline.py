@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorespark.llm import decontaminate, language, packing, quality, simhash
+from scorespark.llm import decontaminate, jaccard, language, packing, quality
 from scorespark.llm.common import fold_is, new_folder, table
 
 
@@ -23,8 +23,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the smallest doc_id stays."""
-    return simhash.keep_one_of_each(docs)
+    """Of each component of texts with a 5-word Jaccard similarity of 0.8 the smallest doc_id stays."""
+    return jaccard.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained models, fingerprints by majority of hash bits and packing can't be written in SQL.
+#: Trained models, hashes of shingles and packing can't be written in SQL.
 ORACLE_SQL = None
 
 

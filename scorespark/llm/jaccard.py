@@ -1,0 +1,208 @@
+"""Near copies by exact Jaccard similarity of 5-word shingle sets, for the pipeline.
+
+Two texts are near copies where the sets of their shingles' XXH64 have a Jaccard similarity
+of ``LEAST`` = 4/5 or more. Candidates meet in a band of a MinHash signature: 32 bands of 5
+rows miss a pair of similarity 0.8 with probability 3e-6 (SimHash fingerprints of such a pair
+differ by about 10 of 64 bits, too many for the trie of ``simhash`` to prune). Candidates are
+confirmed by their whole shingle sets, so nothing less similar is linked. In a bucket of at
+most ``CROWD`` texts every pair is a candidate. The texts of a larger bucket are gathered with
+their sets, and its components found there by an inverted index: a few texts are compared with
+all, then each text outside the largest component is, so no pair of two components is left out.
+
+Equal shingle sets are one node, named by 64 bits of their hash. Of each component of links
+one row stays, the smallest id's (no id: after all others); rows are told apart by a number
+written with them, so null and repeated ids don't matter.
+
+Defined cases: null and empty texts have equal (empty) sets; fewer than five words are one
+shingle; an empty table gives none; extra columns are kept.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import partitions, stash, texts_of
+from .simhash import components, shingle_hashes
+
+SHINGLE = 5
+LEAST = (4, 5)
+BANDS, ROWS = 32, 5
+CROWD, PIVOTS = 64, 8
+_FACTORS = np.random.default_rng(11).integers(0, 2**31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A signed 64-bit key of each band; none of an empty set."""
+    if not len(shingles):
+        return []
+    low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    sig = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    for at in range(0, len(low), 1024):
+        np.minimum(sig, (_FACTORS * low[at : at + 1024] + high[at : at + 1024]).min(1), out=sig)
+    return [_signed(xxhash.xxh64_intdigest(sig[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def sketches(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, id, node, size, keys."""
+    flat = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            node, size, keys = [], [], []
+            for t in texts_of(b):
+                s = shingle_set(t)
+                node.append(_signed(xxhash.xxh3_64_intdigest(s.tobytes())))
+                size.append(len(s))
+                keys.append(band_keys(s))
+            cols = [b.column("row"), b.column("id"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "node", "size", "keys"])
+
+    return flat.mapInArrow(run, f"row bigint, id {dict(flat.dtypes)['id']}, node bigint, size int, keys array<bigint>")
+
+
+def bucket_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray):
+    """Yields (u, v, crowd) arrays: the pairs of each run of equal keys that may be similar by
+    their sizes; of a crowded run (key, node, True) of each node instead."""
+    n = len(key)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.empty(0, np.int64)
+    many = np.diff(np.append(start, n))
+    big = np.repeat(many > CROWD, many)
+    yield key[big], node[big], np.ones(big.sum(), bool)
+    key, node, size = key[~big], node[~big], size[~big]
+    for d in range(1, CROWD):
+        i = np.flatnonzero(key[d:] == key[:-d])
+        if not len(i):
+            break
+        x, y = size[i], size[i + d]
+        i = i[LEAST[1] * np.minimum(x, y) >= LEAST[0] * np.maximum(x, y)]
+        yield np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d]), np.zeros(len(i), bool)
+
+
+def _runs(batches, columns: list[str], least: int):
+    """Whole runs of equal first columns, as arrays, from batches sorted by it."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for b in batches:
+        if b.num_rows:
+            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            count += b.num_rows
+        if count >= least:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            other = np.flatnonzero(cols[0] != cols[0][-1])
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                yield [c[:last] for c in cols]
+            held, count = [[c[last:] for c in cols]], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _meet(batches):
+    for cols in _runs(batches, ["key", "node", "size"], 200_000):
+        for u, v, crowd in bucket_pairs(*cols):
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(crowd)], names=["u", "v", "crowd"])
+
+
+def met(nodes: DataFrame) -> DataFrame:
+    """nodes: node (distinct), size, keys. Returns u, v, crowd as bucket_pairs()."""
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    dealt = keyed.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.select("key", "node", "size").mapInArrow(_meet, "u bigint, v bigint, crowd boolean")
+
+
+def crowd_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Index pairs of similar sets that connect just what all such pairs connect."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), size)[np.argsort(term, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(term))])
+    label, out = np.arange(m), []
+
+    def compare(i):
+        t = term[edge[i] : edge[i + 1]]
+        n = begin[t + 1] - begin[t]
+        at = np.repeat(begin[t] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=m)
+        for j in np.flatnonzero((LEAST[1] * both >= LEAST[0] * (size + size[i] - both)) & (label != label[i])):
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+
+    for i in range(min(PIVOTS, m)):
+        compare(i)
+    for i in np.flatnonzero(label != np.bincount(label).argmax()):
+        if i >= PIVOTS:
+            compare(int(i))
+    return out
+
+
+def _crowds(batches):
+    for key, node, blob in _runs(batches, ["key", "node", "shingles"], 1000):
+        for k in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+            found = crowd_links([np.frombuffer(blob[i], np.uint64) for i in k])
+            if found:
+                u, v = node[k][np.array(found).T]
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _sets(batches):
+    for b in batches:
+        blobs = [shingle_set(t).tobytes() for t in texts_of(b)]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+
+
+def _confirm(batches):
+    for b in batches:
+        a, c = (b.column(x).to_pylist() for x in ("a", "b"))
+        ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, c)]
+        yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def links(rows: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
+    """u, v: the candidates whose shingle sets are similar enough. nodes: node, row, size, keys."""
+    found = stash(met(nodes), "met")
+    pairs = stash(found.where("not crowd").select("u", "v").distinct(), "pairs")
+    crowd = found.where("crowd").select(F.col("u").alias("key"), F.col("v").alias("node"))
+    named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(crowd.select("node")).distinct()
+    wanted = nodes.select("node", F.col("row").alias("_row")).join(named.hint("shuffle_hash"), "node", "left_semi")
+    texts = rows.select("_row", F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "_row")
+    sets = stash(texts.select("node", "text").mapInArrow(_sets, "node bigint, shingles binary"), "shingles")
+    one = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u")
+    two = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
+    few = two.select("u", "v", "a", "b").mapInArrow(_confirm, "u bigint, v bigint")
+    dealt = crowd.join(sets.hint("merge"), "node").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
+    many = dealt.select("key", "node", "shingles").mapInArrow(_crowds, "u bigint, v bigint")
+    return stash(few.unionByName(many), "links")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each component."""
+    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    found = sketches(rows, id_col, text_col).groupBy("node").agg(best, F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = stash(found.select("node", "best", "best.row", "size", "keys"), "nodes")
+    comp = components(links(rows, nodes, text_col))
+    rooted = nodes.join(comp.hint("merge"), nodes.node == comp.node, "left").select(F.coalesce("root", nodes.node).alias("root"), "best")
+    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
+    # these numbers grow with the input, so they are never broadcast, at any size
+    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(docs.columns)

@@ -1,0 +1,84 @@
+"""The pipeline's near-copy stage against all pairs."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from scorespark.llm import common, jaccard
+
+
+def brute_set(t):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_kept(rows):
+    """Indices of the rows that stay; of equal ids any one of equal texts may."""
+    sets = [brute_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) * 5 >= max(len(a), len(b)) * 4 and 5 * len(a & b) >= 4 * len(a | b):
+                label[root(i)] = root(j)
+    best = {}
+    for i, (k, _) in enumerate(rows):
+        r = root(i)
+        if r not in best or (k is None, k or 0) < (rows[best[r]][0] is None, rows[best[r]][0] or 0):
+            best[r] = i
+    return sorted(best.values())
+
+
+def edited(rng, words, n):
+    w = list(words)
+    for at in rng.choice(len(w), n, replace=False):
+        w[at] = f"x{rng.integers(10**9)}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def made():
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(12):
+        words = [f"w{i}" for i in rng.integers(0, 10**6, 200)]
+        rows += [(7 * k + i, edited(rng, words, e)) for i, e in enumerate((0, 1, 2, 3, 4, 6, 12))]
+    return rows
+
+
+def test_near_copies_go(spark, made):
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(made, "doc_id bigint, text string").repartition(3), "")
+    want = [made[i][0] for i in brute_kept(made)]
+    assert sorted(r["doc_id"] for r in got.collect()) == want and len(want) < len(made) * 0.6
+
+
+def test_all_of_the_table(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = jaccard.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(rows[i][0] for i in brute_kept(rows))
+
+
+def test_rows_are_told_apart(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(None, a), (None, a), (3, b), (3, b), (3, "something else"), (None, None), (None, ""), (None, "left alone"), (1, a)]
+    got = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (3, b), (3, "something else"), (None, ""), (None, "left alone")], key=str)
+    assert jaccard.keep_one_of_each(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_crowds_are_joined(spark):
+    """More near copies than a bucket compares pair by pair."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 300)]
+    rows = [(i, edited(rng, words, int(rng.integers(1, 9)))) for i in range(400)]
+    got = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [rows[i][0] for i in brute_kept(rows)]
