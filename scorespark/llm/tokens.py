@@ -14,7 +14,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for Python, not for the library
 _BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_PLAIN_END = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([.,!?;:%$#&*|]*)")
+_PLAIN_END = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,!?;:%$#&*|]*)")
 
 
 def tokenizer_path(name: str) -> str:
