@@ -169,10 +169,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id has no match."""
-    bad = phrase_matches(docs, items, window, id_col, text_col).select(F.col("id").alias("_bad")).distinct()
-    # these ids grow with the input, so they are never broadcast, at any size
-    return docs.join(bad.hint("shuffle_hash"), docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs``, all columns, without a match. Rows are told apart by a number
+    written with them, so null and repeated ids don't matter."""
+    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    bad = phrase_matches(rows, items, window, "_row", text_col).select(F.col("id").alias("_row")).distinct()
+    # these numbers grow with the input, so they are never broadcast, at any size
+    return rows.join(bad.hint("shuffle_hash"), "_row", "left_anti").select(docs.columns)
 
 
 def op4_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
