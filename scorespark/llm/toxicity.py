@@ -7,7 +7,8 @@ are trained jointly: first on means of whole texts, then on the passage of each
 that the model finds worst (the label says that a text has such a passage, not
 where), so long texts do not thin the evidence. A text's score is that of its worst
 passage, calibrated to the labels' shares. An unseen misspelling shares most of its
-n-gram vectors with the word it comes from.
+n-gram vectors with the word it comes from. A run of over ``LONG`` characters without white
+space counts as overlapping stretches of ``STRETCH``, each a word of its own, so all of it is read.
 
 Defined cases: null and empty texts have no words and get the score of the model's
 bias; with one class only (or no labels) the score is 0 for all; repeated and tied rows
@@ -30,19 +31,27 @@ from .common import Cache, fold_is, hash_share, table, texts_of
 BUCKETS = 1 << 16
 DIM = 8
 SPAN = 2
+LONG, STRETCH = 60, 24
 #: At most about so many labelled rows of each class are learnt from.
 MAX_ROWS_PER_CLASS = 1200
 _STRIP = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """Words between white space, long ones as their stretches."""
+    out = []
+    for w in text.lower().split():
+        if len(w) > LONG:
+            out += [w[i : i + STRETCH] for i in range(0, len(w) - STRETCH // 2, STRETCH // 2)]
+        else:
+            out.append(w)
+    return out
 
 
 def subwords(word: str) -> np.ndarray:
     """Hash buckets of the word's n-grams and of itself."""
     core = word.strip(_STRIP) or word
-    marked = f"<{core[:60]}>"
+    marked = f"<{core}>"
     grams = {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
     grams.add(f"={core}")
     return np.array(sorted(zlib.crc32(g.encode("utf-8", "replace")) & (BUCKETS - 1) for g in grams), dtype=np.int32)
