@@ -1,24 +1,24 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-DataFrame and SQL functions only. The index stores postings of training tokens (as a table
-in the shared folder, so a lost executor costs a reread of it, not of the corpus): term,
-document, position, and the tokens around it as far as a window reaches. Only terms that
-are looked up have postings, and the tokens around stand for the other terms' lists: what
-an intersection needs lies in one row, and frequent terms' lists are never moved. Of each test
-window the rarest term (by its count over the whole corpus) is looked up; its postings,
-moved by the term's place in the window, are the places where the window could begin;
-the window's other terms, from the next rarest on, are intersected with the posting's
-neighbourhood at the same offset. What is left are exact phrase matches. Proximity
-matches want all terms of a window within a span, in any order.
-
-Rarest terms are used block by block, ``BLOCK_TERMS`` at a time (so many are inlined into
-the plan, however large the test set is); each block reads the corpus once more.
-
-Defined cases: null and wordless texts have no words and no hits; a test item without
-words has no window; equal item ids are one item; equal windows of several items count for
-each; repeated document rows each get a row; a null doc id is a group of its own (all such
-rows get the sum over them of distinct places); an empty benchmark leaves all clean;
-extra columns are ignored.
+DataFrame and SQL functions only. One pass over the corpus stores the postings of every
+training token that is also a test term: for each document (the index is divided by documents,
+so each executor intersects what it stores, and no list is moved) its postings, a list of
+positions for each term. Test terms are told from other words by a Bloom filter of the test
+set; what it lets through besides is never looked up. Counts over the whole corpus order the terms of
+each test window from the rarest on. A window is looked up in the documents that have its
+rarest term: that term's list, moved by its place in the window, is intersected with the moved
+lists of the others, from the next rarest on, until it is empty or the terms are used up. What
+is left are the starts of exact phrase matches. Proximity matches want all terms of a window within
+a span, in any order, around an occurrence of the rarest.
+
+The windows are broadcast up to ``BROADCAST_WINDOWS`` of them, beyond that joined by a shuffle
+of (document, term) pairs. Documents are told apart by a number that is written with the
+index, so null and repeated ids don't matter.
+
+Defined cases: null, empty and wordless texts have no words and no hits; very long texts are one
+index row each; a test item without words has no window; equal item ids are one item; equal
+windows of several items count for each; each of several equal rows gets its own row; an
+empty benchmark leaves all clean; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 WINDOW = 10
-BLOCK_TERMS = 20_000
+BROADCAST_WINDOWS = 200_000
+#: Bits of the Bloom filter: 32 a term at least, a power of two, and not over so many.
+MAX_BLOOM_BITS = 1 << 26
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Of lower-cased text: all but x00-x2F, x3A-x60, x7B-x7F. Named by what is in it, as a
 #: negated class is many times slower to match.
@@ -50,116 +52,111 @@ def windows_of(items: DataFrame, window: int = WINDOW, id_col: str = "item_id",
     return w.select("item_id", F.explode(starts).alias("s"), "w").select("item_id", F.expr(f"slice(w, s, {window})").alias("terms")).distinct()
 
 
-def term_counts(tokens: DataFrame, terms: list[str]) -> DataFrame:
-    """term, n over the whole corpus, for the given terms. tokens: w."""
-    return tokens.select(F.explode(F.filter("w", lambda x: x.isin(terms))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-
-
-def _blocks(df: DataFrame, size: int) -> list[list[str]]:
-    """Distinct terms in blocks of about ``size``: each block is collected by itself."""
-    terms = df.select("term").distinct()
-    n = -(-terms.count() // size)
-    for i in range(n):
-        got = sorted(r["term"] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i).collect())
-        if got:
-            yield got
-
-
-def index_of(docs: DataFrame, terms: list[str], reach: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_words, spots: the positional index of the given terms, one row a document."""
-    w = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(terms), i)), lambda i: i.isNotNull())
-    spot = F.transform(
-        at,
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.element_at("w", i + 1).alias("term"),
-            F.slice("w", F.greatest(F.lit(1), i + 1 - reach), F.lit(2 * reach + 1) - F.greatest(F.lit(0), F.lit(reach) - i)).alias("around"),
-            F.least(i, F.lit(reach)).alias("left"),
-        ),
-    )
-    return w.select("id", F.size("w").cast("long").alias("n_words"), spot.alias("spots"))
-
-
-def postings(index: DataFrame) -> DataFrame:
-    """term, id, pos (from 0), around (tokens from pos - reach to pos + reach), left
-    (tokens in it before pos)."""
-    return index.select("id", F.explode("spots").alias("p")).select("p.term", "id", "p.pos", "p.around", "p.left")
-
-
-def anchored(docs: DataFrame, windows: DataFrame, text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """windows with their rarest term and its places: item_id, terms, term, at (0-based).
-    Windows with a term that the corpus lacks can't occur and are left out."""
-    tokens = docs.select(words(F.col(text_col)).alias("w"))
-    flat = windows.select("item_id", "terms", F.posexplode("terms").alias("at", "term"))
-    counts = None
-    for block in _blocks(flat, block_terms):
-        c = term_counts(tokens, block)
-        counts = c if counts is None else counts.unionByName(c)
-    if counts is None:
-        return flat.select("item_id", "terms", "term", "at").limit(0)
-    known = flat.join(stash(counts, "term-counts"), "term", "left")
-    rare = known.groupBy("item_id", "terms").agg(F.min_by(F.struct("term", "at"), F.struct("n", "term", "at")).alias("r"), F.count("n").alias("have"))
-    return stash(rare.where(F.col("have") == F.size("terms")).select("item_id", "terms", "r.term", "r.at"), "anchors")
-
-
-def _matches(docs: DataFrame, windows: DataFrame, reach, accept, id_col: str, text_col: str, block_terms: int) -> tuple[DataFrame, DataFrame]:
-    """The matches, and id, n_words of every document."""
-    anchors = anchored(docs, windows, text_col, block_terms)
-    out, sizes = None, None
-    for block in _blocks(anchors, block_terms):
-        index = stash(index_of(docs, block, reach, id_col, text_col), "postings")
-        sizes = index.select("id", "n_words") if sizes is None else sizes
-        hit = accept(postings(index).join(anchors.where(F.col("term").isin(block)), "term"))
-        out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        kind = dict(docs.dtypes)[id_col]
-        none = docs.sparkSession.createDataFrame([], f"id {kind}, item_id {dict(windows.dtypes)['item_id']}, start int, length int")
-        return none, docs.select(F.col(id_col).alias("id"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    return stash(out, "matches"), sizes
-
-
-def _phrases(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str, block_terms: int) -> tuple[DataFrame, DataFrame]:
-    def accept(pairs):
-        begin = F.col("left") - F.col("at")
-        ok = (begin >= 0) & (F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
-        return pairs.where(ok).select("id", "item_id", (F.col("pos") - F.col("at")).alias("start"), F.size("terms").alias("length"))
-
-    return _matches(docs, windows_of(items, window), window - 1, accept, id_col, text_col, block_terms)
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
+def bloom_filter(terms: DataFrame) -> tuple[DataFrame, int]:
+    """One row with the filter's longs, and its number of bits. terms: term, distinct."""
+    bits = 4096
+    while bits < min(32 * terms.count(), MAX_BLOOM_BITS):
+        bits *= 2
+    at = terms.select(F.xxhash64("term").bitwiseAND(F.lit(bits - 1)).alias("i"))
+    longs = at.groupBy(F.shiftright("i", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("v"))
+    every = terms.sparkSession.range(bits // 64).join(longs, F.col("id") == F.col("k"), "left").select("id", F.coalesce("v", F.lit(0).cast("bigint")).alias("v"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("longs")), bits
+
+
+def index_of(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (a number), id, n_words, postings array<struct<pos, term>>: of each document, the
+    positions (from 0) of its words that are among ``terms``, and of few others."""
+    bloom, bits = bloom_filter(terms)
+
+
+    def among(x: Column) -> Column:
+        i = F.xxhash64(x).bitwiseAND(F.lit(bits - 1))
+        return F.getbit(F.get(F.col("longs"), F.shiftright(i, 6).cast("int")), i.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    w = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    # one reference to the filter, so that it is inlined as a scalar and no row carries it
+    kept = w.select("row", "id", "w", bloom.scalar().alias("longs"))
+    placed = F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("term")))
+    return kept.select("row", "id", F.size("w").cast("long").alias("n_words"), F.filter(placed, lambda p: among(p["term"])).alias("postings"))
+
+
+def ranked(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """term, items, parts: for each distinct window its rarest term, its items, and its terms as
+    struct<term, off> from the rarest on. Windows with a term that the corpus lacks can't
+    occur and are left out."""
+    counts = index.select(F.explode("postings.term").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    wins = windows.groupBy("terms").agg(F.collect_set("item_id").alias("items"))
+    flat = wins.select("terms", "items", F.posexplode("terms").alias("off", "term")).join(counts, "term", "left")
+    parts = F.sort_array(F.collect_list(F.struct("n", "term", "off")))
+    rows = flat.groupBy("terms").agg(F.first("items").alias("items"), F.count("n").alias("have"), parts.alias("p")).where(F.col("have") == F.size("terms"))
+    return stash(rows.select(F.col("p")[0]["term"].alias("term"), "items", F.transform("p", lambda x: F.struct(x["term"].alias("term"), x["off"].alias("off"))).alias("parts")), "windows")
+
+
+def moved(term: Column, off: Column) -> Column:
+    """A term's list in a document, moved by the term's place in the window."""
+    return F.transform(F.filter("postings", lambda p: p["term"] == term), lambda p: p["pos"] - off)
+
+
+def looked_up(index: DataFrame, wins: DataFrame, most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """row, n_words, postings, items, parts: each document with each window whose rarest
+    term it has."""
+    has = index.select("row", "n_words", "postings", F.explode(F.array_distinct("postings.term")).alias("term"))
+    if wins.count() <= most:
+        return has.join(F.broadcast(wins), "term")
+    pairs = has.select("row", "term").join(wins.hint("merge"), "term").drop("term")
+    return pairs.join(index.select("row", "n_words", "postings").hint("merge"), "row")
+
+
+def _found(docs: DataFrame, items: DataFrame, window: int, places, id_col: str, text_col: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Matches (row, item_id, start, length), and the index."""
+    wins = windows_of(items, window)
+    terms = wins.select(F.explode("terms").alias("term")).distinct()
+    index = stash(index_of(docs, terms, id_col, text_col), "postings")
+    pairs = looked_up(index, ranked(wins, index), most)
+    at = pairs.select("row", "items", F.explode(places()).alias("m"))
+    return stash(at.select("row", F.explode("items").alias("item_id"), "m.start", "m.length").distinct(), "matches"), index
+
+
+def _phrase_places() -> Column:
+    """The lists of a window's terms, moved and intersected from the rarest on."""
+    parts = F.col("parts")
+    first = moved(parts[0]["term"], parts[0]["off"])
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    starts = F.aggregate(rest, F.array_distinct(first), lambda left, x: F.when(F.size(left) == 0, left).otherwise(F.array_intersect(left, moved(x["term"], x["off"]))))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.size(parts).alias("length")))
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_WINDOWS) -> DataFrame:
     """id, item_id, start, length: every occurrence of every window."""
-    return _phrases(docs, items, window, id_col, text_col, block_terms)[0]
+    matches, index = _found(docs, items, window, _phrase_places, id_col, text_col, most)
+    return matches.join(index.select("row", "id"), "row").select("id", "item_id", "start", "length")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = 15, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
+def proximity_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = 15, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_WINDOWS) -> DataFrame:
     """id, item_id, start, length: runs of ``span`` tokens (at a text's end: fewer) with all
     the distinct terms of a window, in any order; of overlapping runs around one rare
     term the first."""
 
-    def accept(pairs):
-        first = F.greatest(F.lit(0), F.col("left") - (span - 1))
-        runs = F.filter(F.sequence(first, F.col("left")), lambda s: F.size(F.array_except("terms", F.slice("around", s + 1, span))) == 0)
-        got = pairs.withColumn("s", F.element_at(F.when(F.size(runs) > 0, runs), 1)).where("s is not null")
-        return got.select("id", "item_id", (F.col("pos") - F.col("left") + F.col("s")).alias("start"), F.least(F.lit(span), F.size("around") - F.col("s")).alias("length"))
+    def places() -> Column:
+        terms = F.array_distinct(F.transform("parts", lambda x: x["term"]))
+        near = lambda s, to: F.transform(F.filter("postings", lambda p: (p["pos"] >= s) & (p["pos"] <= to)), lambda p: p["term"])
+        full = lambda s: F.size(F.array_except(terms, near(s, s + span - 1))) == 0
+        first = F.transform(moved(F.col("parts")[0]["term"], F.lit(0)), lambda p: F.get(F.filter(F.sequence(F.greatest(F.lit(0), p - (span - 1)), p), full), 0))
+        return F.transform(F.filter(first, lambda s: s.isNotNull()), lambda s: F.struct(s.alias("start"), F.least(F.lit(span), F.col("n_words").cast("int") - s).alias("length")))
 
-    return _matches(docs, windows_of(items, window), span - 1, accept, id_col, text_col, block_terms)[0]
+    matches, index = _found(docs, items, window, places, id_col, text_col, most)
+    return matches.join(index.select("row", "id"), "row").select("id", "item_id", "start", "length")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_WINDOWS) -> DataFrame:
     """id, n_words, n_hit (words inside any match), n_items, items_sha256, contaminated."""
-    matches, sizes = _phrases(docs, items, window, id_col, text_col, block_terms)
-    hits = matches.distinct()
+    matches, index = _found(docs, items, window, _phrase_places, id_col, text_col, most)
     places = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "length")), lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    found = hits.groupBy("id").agg(places.alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumnRenamed("id", "_hit_id")
-    sized = sizes.withColumnRenamed("id", id_col)
-    joined = sized.join(found, sized[id_col].eqNullSafe(found["_hit_id"]), "left")
-    # rows that share an id but not a text: none has more hits than words
-    n_hit = F.least(F.coalesce(F.col("n_hit"), F.lit(0)).cast("long"), F.col("n_words"))
+    found = matches.groupBy("row").agg(places.cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(
-        id_col,
+    return index.select("row", "id", "n_words").join(found, "row", "left").select(
+        F.col("id").alias(id_col),
         "n_words",
         n_hit.alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),
@@ -169,13 +166,28 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without a match. Rows are told apart by a number
-    written with them, so null and repeated ids don't matter."""
+    """The rows of ``docs``, all columns, without a match."""
     rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    bad = phrase_matches(rows, items, window, "_row", text_col).select(F.col("id").alias("_row")).distinct()
+    matches, index = _found(rows, items, window, _phrase_places, "_row", text_col, BROADCAST_WINDOWS)
+    bad = matches.select("row").distinct().join(index.select("row", F.col("id").alias("_row")), "row").select("_row")
     # these numbers grow with the input, so they are never broadcast, at any size
     return rows.join(bad.hint("shuffle_hash"), "_row", "left_anti").select(docs.columns)
 
 
 def op4_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, w[s:s + 9] AS terms, len(w[s:s + 9]) AS n FROM starts),
+places AS (SELECT d.r, d.w, k.n, unnest(range(1, len(d.w) - k.n + 2)) AS s FROM docs d JOIN (SELECT DISTINCT n FROM wins) k ON len(d.w) >= k.n),
+found AS (SELECT DISTINCT a.r, a.s, a.n, x.item_id FROM places a JOIN wins x ON x.n = a.n AND x.terms = a.w[a.s:a.s + a.n - 1]),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM found)) GROUP BY r),
+names AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(m.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON h.r = d.r LEFT JOIN names m ON m.r = d.r
+"""

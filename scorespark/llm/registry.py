@@ -20,4 +20,7 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate_index": decontaminate.ORACLE,
+    "op7_warc_normalise": warc.ORACLE,
+}

@@ -134,14 +134,37 @@ def test_toxicity_odd_rows(spark, odd):
 # --- 3 fingerprints -------------------------------------------------------------------
 
 
+def brute_sketch(t):
+    """Bottom-128 of the shingles' hashes, one shingle at a time in plain integers."""
+    full, found = (1 << 64) - 1, set()
+    w = [xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) for x in t.lower().split()]
+    for s in range(max(1, len(w) - 4) if w else 0):
+        h = 0
+        for x in w[s : s + 5]:
+            h = (h ^ x) * 0x9E3779B97F4A7C15 & full
+            h ^= h >> 29
+        h = h * 0xBF58476D1CE4E5B9 & full
+        found.add((h ^ h >> 32) & (1 << 48) - 1)
+    return sorted(found)[:128]
+
+
+def brute_encode(s):
+    return base64.b64encode(b"".join(x.to_bytes(6, "big") for x in s)).decode()
+
+
+def brute_resemblance(a, b):
+    both = sorted(set(a) | set(b))[:128]
+    return sum(x in a and x in b for x in both) / len(both) if a and b else float(a == b)
+
+
 def brute_likeness(rows):
     rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []
     for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
         k = len(t) // 4
         e = t[: len(t) - k] + u[:k]
-        a, b, c = (fingerprint.sketch(x) for x in (t, e, u))
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.encode(a), fingerprint.encode(b), fingerprint.resemblance(a, b), fingerprint.resemblance(a, c)))
+        a, b, c = (brute_sketch(x) for x in (t, e, u))
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), brute_encode(a), brute_encode(b), brute_resemblance(a, b), brute_resemblance(a, c)))
     return sorted(out, key=str)
 
 
@@ -151,6 +174,48 @@ def test_fingerprints_equal_brute_force(spark, odd, docs, sf_dir):
     assert sorted(map(tuple, fingerprint.edited_likeness(odd).collect()), key=str) == brute_likeness([(r[0], r[1]) for r in ODD])
 
 
+def hot_rows():
+    """One id, and none, with many rows each; texts that share a long start."""
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(map(str, rng.integers(0, 99, int(rng.integers(0, 40)))))
+    return [*((None, text()) for _ in range(150)), *((7, text()) for _ in range(150)), *((i, text()) for i in range(100))]
+
+
+def test_hot_ids_are_spread(spark):
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    keyed, n = common.with_range_bucket(df, "doc_id", 16)
+    sizes = {r["bucket"]: r["count"] for r in keyed.groupBy("bucket").count().collect()}
+    assert max(sizes) < n and max(sizes.values()) < 60
+    ends = keyed.groupBy("bucket").agg({"doc_id": "max"}).orderBy("bucket").collect()
+    assert [r[1] or -1 for r in ends] == sorted(r[1] or -1 for r in ends)
+    got = sorted(map(tuple, fingerprint.edited_likeness(df).collect()), key=str)
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=str)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert sorted(r[3] for r in got) == sorted(brute_encode(brute_sketch(t)) for _, t in order)
+    folder = common.new_folder(spark, "hot")
+    manifest = sstable.write_shards(df, folder)
+    back = sstable.read_shards(spark, folder, manifest).orderBy("start").collect()
+    assert [r["id"] for r in back] == [i for i, _ in order]
+    assert [r["start"] for r in back] == np.cumsum([0, *(r["n_tokens"] for r in back)])[:-1].tolist()
+    assert len(sstable.lookup(folder, manifest.collect(), 7)) == 151 and len(sstable.lookup(folder, manifest.collect(), None)) == 150
+
+
+def test_text_ids(spark):
+    rows = [(f"doc-{i:05d}" if i else None, f"word {i} and " * (i % 9)) for i in range(120)] + [("é", "x y"), ("", "z")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()))
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edited_likeness(df).collect()}
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 4
+        assert got[i] == hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest(), i
+    folder = common.new_folder(spark, "text-ids")
+    manifest = sstable.write_shards(df, folder)
+    back = sstable.read_shards(spark, folder, manifest, "string").orderBy("start").collect()
+    assert [r["id"] for r in back] == [i for i, _ in order]
+    assert len(sstable.lookup(folder, manifest.collect(), "doc-00007")) == 1
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in rng.integers(0, 10**6, 4000)]
@@ -204,8 +269,8 @@ def test_decontamination_equals_brute_force(spark, odd, docs, sf_dir):
     got = registry.QUERIES["op4_decontaminate_index"](spark, sf_dir)
     assert sorted(map(tuple, got.collect()), key=str) == brute_contamination(docs, items)
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    for block in (20_000, 3):
-        got = decontaminate.contamination(odd, bench, block_terms=block)
+    for most in (200_000, 0):
+        got = decontaminate.contamination(odd, bench, most=most)
         assert sorted(map(tuple, got.collect()), key=str) == brute_contamination([(r[0], r[1]) for r in ODD], ITEMS)
     kept = decontaminate.drop_contaminated(odd, bench)
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in brute_contamination([(r[0], r[1]) for r in ODD], ITEMS) if not r[5])
@@ -224,6 +289,35 @@ def test_proximity(spark):
     assert decontaminate.phrase_matches(d, items).count() == 0
 
 
+def test_rows_are_told_apart(spark):
+    """Rows without an id, or of one id, have their own hits."""
+    leak, clean = "so it sat on the mat and looked at a very old dog", "nothing of the sort"
+    rows = [(None, leak), (None, clean), (1, clean), (1, leak), (2, clean), (2, None)]
+    bench = [(1, "sat on the mat and looked at a very old dog")]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_contamination(rows, bench)
+
+
+def test_lists_are_intersected(spark):
+    """All the terms of a window, but not in its order, nor next to each other."""
+    bench = [(1, "a b c d e f g h i j k"), (2, "the the cat"), (3, "the cat the")]
+    rows = [(1, "a b c d e f g h i k j"), (2, "x a b c d e f g h i j"), (3, "the the cat the the cat the cat"), (4, "j i h g f e d c b a"), (5, "a b c d e x f g h i j k")]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_contamination(rows, bench)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    want = con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, registry.QUERIES[name](spark, sf_dir).select(columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 # --- 5 token shards -------------------------------------------------------------------
 
 
@@ -231,7 +325,6 @@ def encoded(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -257,6 +350,14 @@ def test_shards_equal_brute_force(spark, odd, docs, sf_dir):
     assert sstable.lookup(folder, rows, 1000) == []
 
 
+def test_wide_ids(tmp_path):
+    with open(tmp_path / "x.sst", "wb") as f:
+        writer = sstable.SSTableWriter(f, 2)
+        writer.add(b"a", np.array([65535], np.uint32))
+        with pytest.raises(ValueError):
+            writer.add(b"b", np.array([65536], np.uint32))
+
+
 def test_shard_blocks(tmp_path):
     path = tmp_path / "x.sst"
     with open(path, "wb") as f:
@@ -430,15 +531,53 @@ def test_packing(spark, odd, docs, sf_dir):
     assert n <= bound * 1.02 + 2
 
 
-def test_genetic_beats_first_parent():
+def triplets(n_bins, size, rng):
+    """Pieces of over a quarter and under half of a sequence: at most three fit, and
+    an optimal packing has exactly three in every sequence."""
+    out = []
+    for _ in range(n_bins):
+        a = int(rng.integers(size * 38 // 100, size * 46 // 100))
+        rest = size - a - size * SLACK // 1000
+        b = int(rng.integers(max(size // 4 + 1, rest - size * 49 // 100), rest // 2))
+        out += [a, b, rest - b]
+    assert all(size / 4 < x < size / 2 for x in out)
+    x = np.array(out)
+    rng.shuffle(x)
+    return x
+
+
+SLACK = 12
+
+
+def test_crossover_finds_what_best_fit_decreasing_misses():
+    best = {"falling": [], "crossing": [], "mutation only": []}
+    for seed in range(6):
+        x = triplets(16, 1000, np.random.default_rng(seed))
+        best["falling"].append(packing.pack(x, np.argsort(-x, kind="stable"), 1000).max() + 1)
+        for name, crossing in (("crossing", True), ("mutation only", False)):
+            slots, crossed = packing.evolve(x, seed, 1000, population=24, generations=600, crossing=crossing)
+            assert (crossed > 0) == crossing and packing.fills_of(x, slots).max() <= 1000
+            best[name].append(slots.max() + 1)
+    assert min(best["falling"]) > 16, best
+    assert best["crossing"].count(16) >= 3 and best["crossing"].count(16) > best["mutation only"].count(16), best
+
+
+def test_packing_is_the_work_of_crossover():
+    """Mixed lengths: the first packings are over the bound, crossover closes the gap."""
+    x = np.minimum(2047, np.random.default_rng(3).gamma(1.2, 600, 1500).astype(int) + 2)
+    bound = -(-x.sum() // 2048)
+    first = min(packing.pack(x, np.random.default_rng(k).permutation(1500), 2048).max() + 1 for k in range(8))
+    crossed, plain = (packing.evolve(x, 1, generations=100, crossing=c)[0].max() + 1 for c in (True, False))
+    assert crossed < plain < first and crossed <= bound + 2
+
+
+def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(2)
     x = rng.integers(300, 1100, 200)
-    first = packing.best_fit(x, np.argsort(-x, kind="stable").tolist(), [], 2048)
-    best = packing.evolve(x, 1, generations=20)
-    assert packing.fitness(x, best, 2048) <= packing.fitness(x, first, 2048)
-    assert sorted(i for b in best for i in b) == list(range(200))
-    child = packing.crossover(x, first, best, 2048, rng)
-    assert sorted(i for b in child for i in b) == list(range(200)) and all(x[b].sum() <= 2048 for b in child)
+    a, b = (packing.pack(x, rng.permutation(200), 2048) for _ in range(2))
+    for child in (packing.crossover(x, a, b, 2048, rng), packing.mutate(x, a, 2048, rng)):
+        fills = packing.fills_of(x, child)
+        assert len(child) == 200 and fills.sum() == x.sum() and fills.max() <= 2048 and fills.min() > 0
 
 
 # --- 9 token counts -------------------------------------------------------------------
