@@ -3,14 +3,16 @@
 Learnt: for each language the smoothed frequencies of hashed byte n-grams (n = 1..4,
 case folded) over a bounded sample. A text is cut into runs of ``RUN`` n-grams; each run
 has a likelihood under each language. Expectation-maximisation estimates the
-proportions in which the languages mix in the text. Sets of 1, 2, ... languages, taken in
-order of those proportions, are compared by penalised likelihood (each language
-costs ``PENALTY * log(runs)``), and the proportions within the chosen set are
-returned; the largest names the text.
+proportions in which the languages mix in the text. Sets of 1, 2, ... up to all languages, taken
+in order of those proportions, are compared by penalised likelihood (each language
+costs ``PENALTY * log(runs)``; larger sets are left out only where no likelihood could make
+up for that), and the proportions within the chosen set are returned; the largest names the text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every
 text if nothing was learnt; equal proportions go to the language first in
-alphabetical order; repeated rows get equal answers; extra columns are ignored.
+alphabetical order; repeated rows get equal answers; a very long text is read whole, in portions;
+rows without an id, or of one id, are told by their own texts; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import fold_is, hash_share, table, texts_of
 BITS = 16
 RUN = 64
 PENALTY = 1.5
+#: Runs whose n-grams are looked up at once, whatever a text's length.
+AT_ONCE = 4096
 #: At most about so many documents of each language are learnt from.
 MAX_ROWS_PER_LANGUAGE = 2000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -83,11 +87,12 @@ def infer(model: LanguageModel, texts: list[str]) -> list[tuple[str, float, list
             at += 1
         like, starts, row = [], [], 0
         for i in group:
-            g = model.logp[grams(texts[i])]
-            cuts = np.arange(0, len(g), RUN)
-            like.append(np.add.reduceat(g, cuts, axis=0) / 3)  # the three orders overlap
+            g = grams(texts[i])
             starts.append(row)
-            row += len(cuts)
+            for a in range(0, len(g), RUN * AT_ONCE):
+                part = model.logp[g[a : a + RUN * AT_ONCE]]
+                like.append(np.add.reduceat(part, np.arange(0, len(part), RUN), axis=0) / 3)  # the three orders overlap
+                row += len(like[-1])
         like, starts = np.concatenate(like), np.array(starts)
         runs = np.diff(np.append(starts, len(like)))
         full, _ = mixture(like, starts, np.ones((len(group), langs)))
@@ -97,13 +102,20 @@ def infer(model: LanguageModel, texts: list[str]) -> list[tuple[str, float, list
         best = np.zeros((len(group), langs))
         best[np.arange(len(group)), first] = 1
         value = single[np.arange(len(group)), first] - PENALTY * np.log(runs + 1)
-        for k in range(2, min(langs, 4) + 1):
-            allowed = np.zeros((len(group), langs))
-            np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-            theta, ll = mixture(like, starts, allowed)
-            v = ll - k * PENALTY * np.log(runs + 1)
-            better = v > value
-            best[better], value[better] = theta[better], v[better]
+        # no set's likelihood is above that of each run's own best language
+        most = np.add.reduceat(like.max(1), starts)
+        for k in range(2, langs + 1):
+            open_ = np.flatnonzero(most - k * PENALTY * np.log(runs + 1) > value)
+            if not len(open_):
+                break
+            allowed = np.zeros((len(open_), langs))
+            np.put_along_axis(allowed, order[open_, :k], 1, axis=1)
+            own = np.repeat(np.arange(len(group)), runs)
+            theta, ll = mixture(like[np.isin(own, open_)], np.cumsum(runs[open_]) - runs[open_], allowed)
+            v = ll - k * PENALTY * np.log(runs[open_] + 1)
+            better = v > value[open_]
+            at_ = open_[better]
+            best[at_], value[at_] = theta[better], v[better]
         win = best.argmax(1)
         for j, i in enumerate(group):
             out[i] = (model.names[win[j]], float(min(1.0, best[j, win[j]])), best[j].tolist())
