@@ -1,20 +1,27 @@
-"""Near copies by exact Jaccard similarity of 5-word shingle sets, for the pipeline.
+"""Near copies by SimHash tries over 5-word shingles, confirmed by their Jaccard similarity: the
+operator of ``simhash`` for a wider budget, as the pipeline needs it.
 
 Two texts are near copies where the sets of their shingles' XXH64 have a Jaccard similarity
-of ``LEAST`` = 4/5 or more. Candidates meet in a band of a MinHash signature: 32 bands of 5
-rows miss a pair of similarity 0.8 with probability 3e-6 (SimHash fingerprints of such a pair
-differ by about 10 of 64 bits, too many for the trie of ``simhash`` to prune). Candidates are
-confirmed by their whole shingle sets, so nothing less similar is linked. In a bucket of at
-most ``CROWD`` texts every pair is a candidate. The texts of a larger bucket are gathered with
-their sets, and its components found there by an inverted index: a few texts are compared with
-all, then each text outside the largest component is, so no pair of two components is left out.
+of ``LEAST`` = 4/5 or more. The SimHash bits of such a pair differ with a probability of
+0.15 each, about 10 of 64: a trie over one fingerprint can't prune before it has met nearly
+all pairs. So a text has ``TABLES`` = 96 prefixes of 16 bits and a fingerprint of 64 bits, of
+1600 SimHash bits in all. Texts that agree in one of the prefixes form a binary trie over their
+fingerprints, whose node pairs are traversed together (``simhash.trie_links``) and pruned
+beyond ``BUDGET`` = 20 differing bits. By calculation a pair of similarity 0.8 is missed with
+probability 0.001, one of 0.85 with 0.00002; a row only escapes if it is missed with all its
+near copies. What is found is confirmed by the whole shingle sets, so
+nothing less similar is linked. The texts of a prefix that more than ``CROWD`` share are gathered
+with their sets, and its components found there by an inverted index: a few texts are compared
+with all, then each text outside the largest component is, so no pair of two components is
+left out.
 
 Equal shingle sets are one node, named by 64 bits of their hash. Of each component of links
 one row stays, the smallest id's (no id: after all others); rows are told apart by a number
 written with them, so null and repeated ids don't matter.
 
 Defined cases: null and empty texts have equal (empty) sets; fewer than five words are one
-shingle; an empty table gives none; extra columns are kept.
+shingle; very long texts are read whole; equal rows are copies; an empty table gives none;
+extra columns are kept.
 """
 
 from __future__ import annotations
@@ -26,28 +33,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stash, texts_of
-from .simhash import components, shingle_hashes
+from .simhash import components, shingle_hashes, trie_links
 
 SHINGLE = 5
 LEAST = (4, 5)
-BANDS, ROWS = 32, 5
+TABLES, PREFIX_BITS, BUDGET = 96, 16, 20
 CROWD, PIVOTS = 64, 8
-_FACTORS = np.random.default_rng(11).integers(0, 2**31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Rows of shingle sets that are handed to Python at once: a set may have megabytes.
+SETS_AT_ONCE = 256
+_SEEDS = np.random.default_rng(11).integers(0, 2**63, (TABLES * PREFIX_BITS // 64 + 1, 2), dtype=np.uint64)
 
 
 def shingle_set(text: str) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64))
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A signed 64-bit key of each band; none of an empty set."""
-    if not len(shingles):
-        return []
-    low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-    sig = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
-    for at in range(0, len(low), 1024):
-        np.minimum(sig, (_FACTORS * low[at : at + 1024] + high[at : at + 1024]).min(1), out=sig)
-    return [_signed(xxhash.xxh64_intdigest(sig[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
+def simhash_bits(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash words of a set: first the fingerprint, then those of the prefixes. A bit is
+    that of the majority of the shingles, at a tie a fixed one."""
+    n, ones = len(shingles), np.zeros(64 * len(_SEEDS), np.int64)
+    for at in range(0, n, 255):  # so many ones fit in a byte
+        x = shingles[at : at + 255, None] ^ _SEEDS[:, 0]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # SplitMix64's finaliser
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    tie = np.unpackbits(_SEEDS[:, 1].copy().view(np.uint8)).astype(bool)
+    return np.packbits((2 * ones > n) | ((2 * ones == n) & tie)).view(np.uint64)
+
+
+def prefix_keys(words: np.ndarray) -> np.ndarray:
+    """Of each table its number and the prefix."""
+    return np.arange(TABLES, dtype=np.int32) << PREFIX_BITS | words[1:].view(np.uint16).astype(np.int32)
 
 
 def _signed(x: int) -> int:
@@ -60,39 +77,41 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, node, size, keys."""
+    """row, id, node, size, fp, keys."""
     flat = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:
-            node, size, keys = [], [], []
+            node, size, fp, keys = [], [], [], []
             for t in texts_of(b):
                 s = shingle_set(t)
+                words = simhash_bits(s)
                 node.append(_signed(xxhash.xxh3_64_intdigest(s.tobytes())))
                 size.append(len(s))
-                keys.append(band_keys(s))
-            cols = [b.column("row"), b.column("id"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "node", "size", "keys"])
+                fp.append(_signed(int(words[0])))
+                keys.append(prefix_keys(words) if len(s) else [])
+            cols = [b.column("row"), b.column("id"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "node", "size", "fp", "keys"])
 
-    return flat.mapInArrow(run, f"row bigint, id {dict(flat.dtypes)['id']}, node bigint, size int, keys array<bigint>")
+    return flat.mapInArrow(run, f"row bigint, id {dict(flat.dtypes)['id']}, node bigint, size int, fp bigint, keys array<int>")
 
 
-def bucket_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray):
-    """Yields (u, v, crowd) arrays: the pairs of each run of equal keys that may be similar by
-    their sizes; of a crowded run (key, node, True) of each node instead."""
+def bucket_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, fp: np.ndarray):
+    """Yields (u, v, crowd) arrays: the pairs of each run of equal keys within the budget that
+    may be similar by their sizes; of a crowded run (key, node, True) of each node instead."""
     n = len(key)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.empty(0, np.int64)
     many = np.diff(np.append(start, n))
     big = np.repeat(many > CROWD, many)
-    yield key[big], node[big], np.ones(big.sum(), bool)
-    key, node, size = key[~big], node[~big], size[~big]
-    for d in range(1, CROWD):
-        i = np.flatnonzero(key[d:] == key[:-d])
-        if not len(i):
-            break
-        x, y = size[i], size[i + d]
-        i = i[LEAST[1] * np.minimum(x, y) >= LEAST[0] * np.maximum(x, y)]
-        yield np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d]), np.zeros(len(i), bool)
+    yield key[big].astype(np.int64), node[big], np.ones(big.sum(), bool)
+    key, node, size, fp = key[~big], node[~big], size[~big], fp[~big].view(np.uint64)
+    order = np.lexsort((fp, key))
+    key, node, size, fp = key[order], node[order], size[order], fp[order]
+    for i, j in trie_links(key, fp, BUDGET):
+        x, y = size[i], size[j]
+        ok = LEAST[1] * np.minimum(x, y) >= LEAST[0] * np.maximum(x, y)
+        i, j = i[ok], j[ok]
+        yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.zeros(len(i), bool)
 
 
 def _runs(batches, columns: list[str], least: int):
@@ -115,17 +134,17 @@ def _runs(batches, columns: list[str], least: int):
 
 
 def _meet(batches):
-    for cols in _runs(batches, ["key", "node", "size"], 200_000):
+    for cols in _runs(batches, ["key", "node", "size", "fp"], 200_000):
         for u, v, crowd in bucket_pairs(*cols):
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(crowd)], names=["u", "v", "crowd"])
 
 
 def met(nodes: DataFrame) -> DataFrame:
-    """nodes: node (distinct), size, keys. Returns u, v, crowd as bucket_pairs()."""
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    """nodes: node (distinct), size, fp, keys. Returns u, v, crowd as bucket_pairs()."""
+    keyed = nodes.select("node", "size", "fp", F.explode("keys").alias("key"))
     dealt = keyed.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.select("key", "node", "size").mapInArrow(_meet, "u bigint, v bigint, crowd boolean")
+    return dealt.select("key", "node", "size", "fp").mapInArrow(_meet, "u bigint, v bigint, crowd boolean")
 
 
 def crowd_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -179,7 +198,7 @@ def _confirm(batches):
 
 
 def links(rows: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
-    """u, v: the candidates whose shingle sets are similar enough. nodes: node, row, size, keys."""
+    """u, v: the candidates whose shingle sets are similar enough. nodes: node, row, size, fp, keys."""
     found = stash(met(nodes), "met")
     pairs = stash(found.where("not crowd").select("u", "v").distinct(), "pairs")
     crowd = found.where("crowd").select(F.col("u").alias("key"), F.col("v").alias("node"))
@@ -192,15 +211,21 @@ def links(rows: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFram
     few = two.select("u", "v", "a", "b").mapInArrow(_confirm, "u bigint, v bigint")
     dealt = crowd.join(sets.hint("merge"), "node").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
     many = dealt.select("key", "node", "shingles").mapInArrow(_crowds, "u bigint, v bigint")
-    return stash(few.unionByName(many), "links")
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(SETS_AT_ONCE))
+    try:
+        return stash(few.unionByName(many), "links")
+    finally:
+        conf.set(name, before)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each component."""
     rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    found = sketches(rows, id_col, text_col).groupBy("node").agg(best, F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes = stash(found.select("node", "best", "best.row", "size", "keys"), "nodes")
+    found = sketches(rows, id_col, text_col).groupBy("node").agg(best, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = stash(found.select("node", "best", "best.row", "size", "fp", "keys"), "nodes")
     comp = components(links(rows, nodes, text_col))
     rooted = nodes.join(comp.hint("merge"), nodes.node == comp.node, "left").select(F.coalesce("root", nodes.node).alias("root"), "best")
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))

@@ -11,14 +11,17 @@ budget is dropped with all below it; small node pairs are finished by XOR. All g
 a task are traversed at once, level by level, in numpy. A group emits a spanning star of
 each of its components, never all pairs.
 
-A group of more than ``HOT`` fingerprints is not gathered: each of its fingerprints goes to
-the 65 values within one bit of it, and those that meet (at most 65) are within two bits
-of each other, and any two within two bits meet. So it is exact and bounded as well.
+The trie of a group of more than ``HOT`` fingerprints is not held by one task. Its first levels
+are traversed by the plan: the next ``STEP`` bits name its nodes, and each pair of nodes whose
+bits differ within the budget, also of a node with itself, becomes a group of its own, with what
+is left of the budget; node pairs beyond it are never made. That is repeated with the bits after
+them until every group is small or all bits are used, when it holds two fingerprints at most.
 
 Components: large-star and small-star rounds over the links, checkpointed each.
 
 Defined cases: null and empty texts have fingerprint zero and link like others; fewer
-than three words are one shingle; a null id takes part but names a component only where
+than three words are one shingle; very long texts are read whole; texts of one fingerprint are one
+node, however many; a null id takes part but names a component only where
 no other id does (then null); repeated rows each get a row; an empty table gives none;
 extra columns are ignored.
 """
@@ -37,6 +40,7 @@ from .common import cut, partitions, stash, table, texts_of
 
 MAX_BITS = 2
 HOT = 4096
+STEP = 8
 _PAIRS = list(combinations(range(4), 2))
 
 
@@ -170,14 +174,14 @@ def stars(n: int, links) -> np.ndarray:
 
 
 def _trie_stars(batches):
-    """Rows sorted by (combo, block, ufp); groups are finished when the next begins."""
+    """Rows sorted by (grp, fp); groups are finished when the next begins. Groups that share a
+    number by chance are one, which costs time and finds nothing wrong."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush(key, fp):
-        group = np.concatenate([[0], np.cumsum(np.any(np.diff(key, axis=0) != 0, axis=1))])
-        order = np.lexsort((fp.view(np.uint64), group))  # Spark sorts them as signed
-        g, f = group[order], fp.view(np.uint64)[order]
+        order = np.lexsort((fp.view(np.uint64), key))  # Spark sorts them as signed
+        g, f = key[order], fp.view(np.uint64)[order]
         label = stars(len(f), trie_links(g, f))
         own = np.flatnonzero(label != np.arange(len(f)))
         return pa.RecordBatch.from_arrays([pa.array(f[own].view(np.int64), pa.int64()), pa.array(f[label[own]].view(np.int64), pa.int64())], names=["u", "v"])
@@ -185,17 +189,28 @@ def _trie_stars(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        key = np.stack([b.column("combo").to_numpy(zero_copy_only=False).astype(np.int64), b.column("block").to_numpy(zero_copy_only=False)], 1)
-        held.append((key, b.column("fp").to_numpy(zero_copy_only=False)))
-        size += len(key)
+        held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "fp")))
+        size += b.num_rows
         if size >= 100_000:
-            key, fp = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            last = int(np.flatnonzero(np.any(key != key[-1], axis=1))[-1]) + 1 if np.any(key != key[-1]) else 0
+            key, fp = (np.concatenate(x) for x in zip(*held))
+            other = np.flatnonzero(key != key[-1])
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
                 yield flush(key[:last], fp[:last])
             held, size = [(key[last:], fp[last:])], len(key) - last
     if size:
-        yield flush(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        yield flush(*(np.concatenate(x) for x in zip(*held)))
+
+
+def split_groups(rows: DataFrame, depth: int) -> DataFrame:
+    """rows: fp, combo, grp, budget. Each group becomes its node pairs by the depth-th ``STEP``
+    bits of the blocks that its fingerprints needn't share."""
+    shifts = [[48 - 16 * i + s for i in range(4) if i not in pair for s in (8, 0)][depth] for pair in _PAIRS]
+    node = F.expr(f"shiftrightunsigned(fp, get(array({', '.join(map(str, shifts))}), combo))").bitwiseAND(F.lit((1 << STEP) - 1))
+    masks = [0, *(1 << i for i in range(STEP)), *(1 << i | 1 << j for i, j in combinations(range(STEP), 2))]
+    pairs = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(m.bit_count()).alias("bits")) for m in masks))
+    met = rows.withColumn("node", node).select("*", F.explode(F.filter(pairs, lambda p: p["bits"] <= F.col("budget"))).alias("p"))
+    return met.select("fp", "combo", F.xxhash64("grp", F.least("node", F.col("node").bitwiseXOR(F.col("p.m"))), "p.m").alias("grp"), (F.col("budget") - F.col("p.bits")).alias("budget"))
 
 
 def link_stars(nodes: DataFrame, hot: int = HOT) -> DataFrame:
@@ -204,17 +219,21 @@ def link_stars(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     spark = nodes.sparkSession
     n = partitions(spark)
     part = lambda i: F.shiftrightunsigned("fp", 48 - 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*(F.struct(F.lit(c).alias("combo"), (F.shiftleft(part(i), 16).bitwiseOR(part(j))).alias("block")) for c, (i, j) in enumerate(_PAIRS)))
-    keyed = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.combo", "k.block")
-    sizes = cut(keyed.groupBy("combo", "block").agg(F.count("*").alias("size")).where("size > 1"))
-    small = keyed.join(sizes.where(F.col("size") <= hot), ["combo", "block"]).select("combo", "block", "fp")
-    tried = small.repartition(n, "combo", "block").sortWithinPartitions("combo", "block", "fp").mapInArrow(_trie_stars, "u bigint, v bigint")
-    dense = keyed.join(sizes.where(F.col("size") > hot), ["combo", "block"]).select("fp").distinct()
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
-    near = dense.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("near"))
-    met = near.groupBy("near").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
-    balls = met.select(F.col("fps")[0].alias("v"), F.explode(F.slice("fps", 2, 64)).alias("u")).select("u", "v")
-    return tried.unionByName(balls).distinct()
+    keys = F.array(*(F.struct(F.lit(c).alias("combo"), F.xxhash64(F.lit(c), part(i), part(j)).alias("grp")) for c, (i, j) in enumerate(_PAIRS)))
+    todo = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.combo", "k.grp", F.lit(MAX_BITS).alias("budget"))
+    found, depth = None, 0
+    while True:
+        sizes = cut(todo.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1"))
+        last = depth == 32 // STEP
+        small = todo.join(sizes if last else sizes.where(F.col("size") <= hot), "grp").select("grp", "fp").distinct()
+        # dealt by the group's number, which is a hash: a join before doesn't undo it
+        dealt = small.withColumn("task", F.pmod("grp", F.lit(n)).cast("int")).repartitionById(n, "task").drop("task")
+        tried = dealt.sortWithinPartitions("grp", "fp").mapInArrow(_trie_stars, "u bigint, v bigint")
+        found = tried if found is None else found.unionByName(tried)
+        large = sizes.where(F.col("size") > hot).select("grp")
+        if last or large.isEmpty():
+            return found.distinct()
+        todo, depth = stash(split_groups(todo.join(large, "grp", "left_semi"), depth), "trie-node-pairs"), depth + 1
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -249,16 +268,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, less all but the smallest id of each component;
-    of rows that share that id one stays. Rows without an id stay."""
-    found = stash(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id"), "components")
-    gone = found.where("_id <> component_id").select("_id").distinct()
-    # the removed ids grow with the input, so they are never broadcast, at any size
-    kept = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_id"], "left_anti")
-    twice = found.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull())) if twice else kept
-
-
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from scorespark.llm import common, jaccard
+from scorespark.llm import common, near_copies
 
 
 def brute_set(t):
@@ -61,18 +61,28 @@ def test_near_copies_go(spark, made):
 def test_all_of_the_table(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = jaccard.keep_one_of_each(docs)
+    got = near_copies.keep_one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(rows[i][0] for i in brute_kept(rows))
 
 
+def test_bits_differ_by_the_angle():
+    """Of a pair of similarity 0.8 about 0.15 of the bits differ; half of an unlike pair's."""
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    a, b, c = np.unique(pool[:900]), np.unique(pool[100:1000]), np.unique(pool[2000:2900])
+    bits = [np.unpackbits(near_copies.simhash_bits(x).view(np.uint8)) for x in (a, b, c)]
+    assert len(bits[0]) == 1600 and abs((bits[0] != bits[1]).mean() - 0.152) < 0.04 and abs((bits[0] != bits[2]).mean() - 0.5) < 0.06
+    assert (near_copies.simhash_bits(a) == near_copies.simhash_bits(a[::-1])).all()
+
+
 def test_rows_are_told_apart(spark):
     a, b = "one two three four five six seven", "eight nine ten eleven twelve"
     rows = [(None, a), (None, a), (3, b), (3, b), (3, "something else"), (None, None), (None, ""), (None, "left alone"), (1, a)]
-    got = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     kept = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str)
     assert kept == sorted([(1, a), (3, b), (3, "something else"), (None, ""), (None, "left alone")], key=str)
-    assert jaccard.keep_one_of_each(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    assert near_copies.keep_one_of_each(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
 def test_crowds_are_joined(spark):
@@ -80,5 +90,5 @@ def test_crowds_are_joined(spark):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in rng.integers(0, 10**6, 300)]
     rows = [(i, edited(rng, words, int(rng.integers(1, 9)))) for i in range(400)]
-    got = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == [rows[i][0] for i in brute_kept(rows)]

@@ -420,10 +420,6 @@ def test_near_duplicates_equal_brute_force(spark, odd, docs, sf_dir):
     for hot in (4096, 1):
         got = simhash.near_duplicates(odd, hot=hot)
         assert sorted(map(tuple, got.collect()), key=str) == brute_near([(r[0], r[1]) for r in ODD])
-    kept = simhash.keep_one_of_each(odd)
-    assert kept.columns == odd.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert 6 in ids and 7 not in ids and len(ids) == len(set(ids))
 
 
 @pytest.mark.parametrize("hot", [4096, 20])
@@ -636,6 +632,56 @@ def test_language_mixture(spark, sf_dir):
     assert (none, zero) == ("und", 0.0)
 
 
+def made_model(n):
+    """n languages, each with an alphabet of its own."""
+    rng = np.random.default_rng(0)
+    letters = [chr(0x4E00 + 40 * i) for i in range(n)]
+    say = lambda i, k: "".join(chr(ord(letters[i]) + int(x)) for x in rng.integers(0, 30, k))
+    total = np.zeros((n, 1 << language.BITS))
+    for i in range(n):
+        total[i] += np.bincount(language.grams(say(i, 20_000)), minlength=1 << language.BITS)
+    logp = np.log((total + 1e-3) / (total + 1e-3).sum(1, keepdims=True))
+    return language.LanguageModel([f"l{i}" for i in range(n)], np.ascontiguousarray(logp.T)), say
+
+
+def test_more_than_four_languages_mix():
+    model, say = made_model(7)
+    (name, share, shares), *rest = language.infer(model, ["".join(say(i, 3000) for i in range(6)), say(5, 400)])
+    assert sum(p > 0.1 for p in shares) == 6 and shares[6] < 0.02 and 0.1 < share < 0.25
+    assert rest[0][0] == "l5" and rest[0][1] > 0.99
+
+
+def brute_infer(model, text):
+    """One text, run by run, every set size."""
+    g = language.grams(text)
+    like = np.array([[model.logp[g[a : a + language.RUN], k].sum() / 3 for k in range(len(model.names))] for a in range(0, len(g), language.RUN)])
+
+    def em(langs):
+        theta = np.where(np.isin(np.arange(like.shape[1]), langs), 1 / len(langs), 0)
+        lik = np.exp(np.maximum(like - like.max(1, keepdims=True), -60))
+        for _ in range(12):
+            joint = lik * theta
+            theta = (joint / joint.sum(1, keepdims=True)).mean(0)
+        return theta, (np.log((lik * theta).sum(1)) + like.max(1)).sum()
+
+    full, first = em(np.arange(like.shape[1]))[0], int(like.sum(0).argmax())
+    order = [first, *(k for k in np.argsort(-full, kind="stable") if k != first)]
+    sets = [(like.sum(0)[first], np.eye(like.shape[1])[first])]
+    for k in range(2, like.shape[1] + 1):
+        theta, ll = em(order[:k])
+        sets.append((ll, theta))
+    values = [ll - (k + 1) * language.PENALTY * np.log(len(like) + 1) if k else ll - language.PENALTY * np.log(len(like) + 1) for k, (ll, _) in enumerate(sets)]
+    return sets[int(np.argmax(values))][1]
+
+
+def test_inference_equals_one_text_at_a_time(spark, docs):
+    model = language.train(common.table(spark, "/root/testdata/sf0.001", "documents"))
+    texts = [t for _, t in docs if t and re.search("[a-z]", t)][:60]
+    texts += [a[:600] + " " + b[:300] for a, b in zip(texts, texts[7:])]
+    for text, (_, _, shares) in zip(texts, language.infer(model, texts)):
+        assert shares == pytest.approx(brute_infer(model, text), abs=1e-6)
+
+
 def test_language_odd_rows(spark, odd):
     model = language.train(common.table(spark, "/root/testdata/sf0.001", "documents"))
     got = language.identify(odd, model).collect()
