@@ -64,11 +64,10 @@ def bloom_filter(terms: DataFrame) -> tuple[DataFrame, int]:
 
 
 def index_of(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (a number), id, n_words, postings array<struct<pos, term>>: of each document, the
-    positions (from 0) of its words that are among ``terms``, and of few others."""
+    """row (a number), id, n_words, postings map<term, positions>: of each document the ascending
+    positions (from 0) of each of its words that is among ``terms``, and of few others."""
     bloom, bits = bloom_filter(terms)
 
-
     def among(x: Column) -> Column:
         i = F.xxhash64(x).bitwiseAND(F.lit(bits - 1))
         return F.getbit(F.get(F.col("longs"), F.shiftright(i, 6).cast("int")), i.bitwiseAND(F.lit(63)).cast("int")) == 1
@@ -76,15 +75,23 @@ def index_of(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
     w = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     # one reference to the filter, so that it is inlined as a scalar and no row carries it
     kept = w.select("row", "id", "w", bloom.scalar().alias("longs"))
-    placed = F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("term")))
-    return kept.select("row", "id", F.size("w").cast("long").alias("n_words"), F.filter(placed, lambda p: among(p["term"])).alias("postings"))
+    placed = F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("pos")))
+    kept = kept.select("row", "id", F.size("w").cast("long").alias("n_words"), F.sort_array(F.filter(placed, lambda p: among(p["term"]))).alias("p"))
+    # by lambdas: the optimizer would take p.term to be free, and build it anew for each element
+    flat = kept.select("row", "id", "n_words", F.transform("p", lambda x: x["term"]).alias("t"), F.transform("p", lambda x: x["pos"]).alias("at"))
+    # sorted by term, so a term's positions end where the next term's begin
+    new = F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i))
+    begin = flat.withColumn("b", F.filter(new, lambda i: i.isNotNull())).withColumn("e", F.concat(F.slice("b", 2, F.size("t")), F.array(F.size("t"))))
+    terms = F.transform("b", lambda i: F.get("t", i))
+    lists = F.zip_with("b", "e", lambda i, j: F.slice("at", i + 1, j - i))
+    return begin.select("row", "id", "n_words", F.when(F.size("t") == 0, F.create_map().cast("map<string,array<int>>")).otherwise(F.map_from_arrays(terms, lists)).alias("postings"))
 
 
 def ranked(windows: DataFrame, index: DataFrame) -> DataFrame:
     """term, items, parts: for each distinct window its rarest term, its items, and its terms as
     struct<term, off> from the rarest on. Windows with a term that the corpus lacks can't
     occur and are left out."""
-    counts = index.select(F.explode("postings.term").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = index.select(F.explode("postings").alias("term", "at")).groupBy("term").agg(F.sum(F.size("at")).alias("n"))
     wins = windows.groupBy("terms").agg(F.collect_set("item_id").alias("items"))
     flat = wins.select("terms", "items", F.posexplode("terms").alias("off", "term")).join(counts, "term", "left")
     parts = F.sort_array(F.collect_list(F.struct("n", "term", "off")))
@@ -92,19 +99,21 @@ def ranked(windows: DataFrame, index: DataFrame) -> DataFrame:
     return stash(rows.select(F.col("p")[0]["term"].alias("term"), "items", F.transform("p", lambda x: F.struct(x["term"].alias("term"), x["off"].alias("off"))).alias("parts")), "windows")
 
 
-def moved(term: Column, off: Column) -> Column:
-    """A term's list in a document, moved by the term's place in the window."""
-    return F.transform(F.filter("postings", lambda p: p["term"] == term), lambda p: p["pos"] - off)
+def moved(list_: Column, off: Column) -> Column:
+    """A term's list, moved by the term's place in the window."""
+    return F.transform(list_, lambda p: p - off)
 
 
 def looked_up(index: DataFrame, wins: DataFrame, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """row, n_words, postings, items, parts: each document with each window whose rarest
-    term it has."""
-    has = index.select("row", "n_words", "postings", F.explode(F.array_distinct("postings.term")).alias("term"))
+    """row, n_words, postings, list, items, parts: each document with each window whose rarest term
+    it has, and that term's list. The window's next term must be there as well."""
+    has = index.select("row", "n_words", "postings", F.explode("postings").alias("term", "list"))
     if wins.count() <= most:
-        return has.join(F.broadcast(wins), "term")
-    pairs = has.select("row", "term").join(wins.hint("merge"), "term").drop("term")
-    return pairs.join(index.select("row", "n_words", "postings").hint("merge"), "row")
+        pairs = has.join(F.broadcast(wins), "term")
+    else:
+        some = has.select("row", "term", "list").join(wins.hint("merge"), "term")
+        pairs = some.join(index.select("row", "n_words", "postings").hint("merge"), "row")
+    return pairs.where((F.size("parts") == 1) | F.map_contains_key("postings", F.get(F.col("parts"), F.least(F.lit(1), F.size("parts") - 1))["term"]))
 
 
 def _found(docs: DataFrame, items: DataFrame, window: int, places, id_col: str, text_col: str, most: int) -> tuple[DataFrame, DataFrame]:
@@ -120,9 +129,10 @@ def _found(docs: DataFrame, items: DataFrame, window: int, places, id_col: str,
 def _phrase_places() -> Column:
     """The lists of a window's terms, moved and intersected from the rarest on."""
     parts = F.col("parts")
-    first = moved(parts[0]["term"], parts[0]["off"])
+    none = F.array().cast("array<int>")
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    starts = F.aggregate(rest, F.array_distinct(first), lambda left, x: F.when(F.size(left) == 0, left).otherwise(F.array_intersect(left, moved(x["term"], x["off"]))))
+    meet = lambda left, x: F.coalesce(F.array_intersect(left, moved(F.try_element_at("postings", x["term"]), x["off"])), none)
+    starts = F.aggregate(rest, moved(F.col("list"), parts[0]["off"]), lambda left, x: F.when(F.size(left) == 0, left).otherwise(meet(left, x)))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.size(parts).alias("length")))
 
 
@@ -139,9 +149,9 @@ def proximity_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, s
 
     def places() -> Column:
         terms = F.array_distinct(F.transform("parts", lambda x: x["term"]))
-        near = lambda s, to: F.transform(F.filter("postings", lambda p: (p["pos"] >= s) & (p["pos"] <= to)), lambda p: p["term"])
-        full = lambda s: F.size(F.array_except(terms, near(s, s + span - 1))) == 0
-        first = F.transform(moved(F.col("parts")[0]["term"], F.lit(0)), lambda p: F.get(F.filter(F.sequence(F.greatest(F.lit(0), p - (span - 1)), p), full), 0))
+        near = lambda t, s: F.exists(F.coalesce(F.try_element_at("postings", t), F.array().cast("array<int>")), lambda p: (p >= s) & (p < s + span))
+        full = lambda s: F.forall(terms, lambda t: near(t, s))
+        first = F.transform("list", lambda p: F.get(F.filter(F.sequence(F.greatest(F.lit(0), p - (span - 1)), p), full), F.lit(0)))
         return F.transform(F.filter(first, lambda s: s.isNotNull()), lambda s: F.struct(s.alias("start"), F.least(F.lit(span), F.col("n_words").cast("int") - s).alias("length")))
 
     matches, index = _found(docs, items, window, places, id_col, text_col, most)
