@@ -2,13 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the next stage's docs. All but the last return documents' columns.
+
+Defined cases, in every stage: null and empty texts have no letter and leave at the language
+stage; very long texts are read whole; rows without an id, or of one id, stand or fall by their
+own text; an empty table passes through; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorespark.llm import decontaminate, jaccard, language, packing, quality
+from scorespark.llm import decontaminate, language, near_copies, packing, quality
 from scorespark.llm.common import fold_is, new_folder, table
 
 
@@ -23,8 +27,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with a 5-word Jaccard similarity of 0.8 the smallest doc_id stays."""
-    return jaccard.keep_one_of_each(docs)
+    """SimHash tries over 5-word shingles; of each component of texts with a similarity of 0.8
+    or more the smallest doc_id stays."""
+    return near_copies.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
