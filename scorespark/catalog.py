@@ -871,3 +871,6 @@ def _features_query(causal: bool):
 for _causal in (False, True):
     _name = "feature_table_causal" if _causal else "feature_table"
     QUERIES[_name], ORACLES[_name] = _features_query(_causal), _features_oracle(_causal)
+
+
+from . import catalog_reports, catalog_timing  # noqa: E402, F401  they register more queries

@@ -134,3 +134,18 @@ def _mul(a: Column, b: int) -> Column:
 
 def _fold(z: Column, bits: int) -> Column:
     return _let(z, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, bits)))
+
+
+def to_velocity(raw: Column, baseline: Column | None = None) -> Column:
+    """A model's output as a velocity: itself, or added to the baseline where it learnt deltas."""
+    return raw if baseline is None else baseline + raw
+
+
+def clamped_offset(ms: Column, scale: float = 1.0, limit_ms: float = 200.0) -> Column:
+    """A scaled offset within +-limit_ms."""
+    return clip(ms * F.lit(scale), -float(limit_ms), float(limit_ms))
+
+
+def slug(text: Column, length: int = 60) -> Column:
+    """Runs of other characters than letters and digits become one underscore; none at the ends."""
+    return F.substring(F.btrim(F.regexp_replace(text, "[^A-Za-z0-9]+", "_"), F.lit("_")), 1, length)

@@ -7,22 +7,28 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def _scan(df: DataFrame, order: list, value: str, out: str, step) -> DataFrame:
     """Adds ``out``: step(previous or None, row value) along each file's order. ``value``
-    may be a struct. Rows stream; the state is one number."""
+    may be a struct. Rows stream; the state is one number. A row without a value gets none and
+    leaves the state as it is."""
+    if out in df.columns:
+        raise ValueError(f"there is a column {out} already")
     ordered = df.repartition("file_id").sortWithinPartitions("file_id", *order)
-    schema = f"{df.schema.simpleString()[7:-1]},{out}:double"
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
 
     def run(batches):
-        file, state = None, None
+        file, begun, state = None, False, None
         for b in batches:
             got = []
             for f, v in zip(b.column("file_id").to_pylist(), b.column(value).to_pylist()):
-                state = step(None if f != file else state, v)
-                file = f
-                got.append(state)
+                if not begun or f != file:
+                    file, begun, state = f, True, None
+                lacking = v is None or isinstance(v, dict) and None in v.values()
+                state = state if lacking else step(state, v)
+                got.append(None if lacking else state)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
 
     return ordered.mapInArrow(run, schema)

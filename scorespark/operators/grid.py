@@ -155,3 +155,78 @@ def looks_quantized(notes: DataFrame, ticks_per_beat: int = 480, share: float =
 
     hit = F.sum((near(ticks_per_beat // 4) | near(ticks_per_beat // 3)).cast("int"))
     return notes.groupBy("file_id").agg(F.count("*").alias("n"), hit.alias("n_on_grid")).withColumn("looks_quantized", (F.col("n") >= 8) & (F.col("n_on_grid") >= F.lit(share) * F.col("n")))
+
+
+#: A grid has no more beats than this.
+MAX_BEATS = 500_000
+
+
+def to_ticks(points: DataFrame, tempos: DataFrame, seconds: str = "seconds", ticks_per_beat: int = 480) -> DataFrame:
+    """The inverse of ``to_seconds``: adds tick, a double; times before 0 extrapolate."""
+    per_second = F.lit(1e6 * ticks_per_beat)
+    cols = points.columns
+    a = points.select("file_id", F.struct(*cols).alias("_row"), F.col(seconds).alias("_t"), F.lit(1).alias("_kind"))
+    seg = F.struct(F.col("tick").alias("t"), F.col("tempo_us").alias("us"), (F.col("micro_ticks") / per_second).alias("at"))
+    begin = F.when(F.col("tick") == F.min("tick").over(Window.partitionBy("file_id")), F.lit(float("-inf"))).otherwise(F.col("micro_ticks") / per_second)
+    b = tempos.select("file_id", begin.alias("_t"), F.lit(0).alias("_kind"), seg.alias("_seg"))
+    # of changes at one time the one at the latest tick holds
+    w = Window.partitionBy("file_id").orderBy("_t", "_kind", F.col("_seg.t")).rowsBetween(Window.unboundedPreceding, 0)
+    got = a.unionByName(b, allowMissingColumns=True).withColumn("_s", F.last("_seg", ignorenulls=True).over(w)).where("_kind = 1")
+    return got.select("_row.*", (F.col("_s.t") + (F.col("_t") - F.col("_s.at")) * per_second / F.col("_s.us")).alias("tick"))
+
+
+def regular_grid(spans: DataFrame, bpm: float, beats_per_bar: int = 4) -> DataFrame:
+    """Beats at one tempo from t_start until t_end is reached. spans: file_id, t_start, t_end."""
+    n = F.least(F.lit(MAX_BEATS), F.greatest(F.lit(2), F.ceil((F.col("t_end") - F.col("t_start")) * F.lit(bpm / 60.0)) + 1)).cast("int")
+    beat = spans.select("file_id", "t_start", F.explode(F.sequence(F.lit(0), n - 1)).alias("beat"))
+    return beat.select("file_id", "beat", (F.col("t_start") + F.col("beat") * F.lit(60.0 / bpm)).alias("time_s"), (F.col("beat") % beats_per_bar).cast("int").alias("beat_in_bar"), F.lit(beats_per_bar).alias("beats_per_bar"))
+
+
+def spans_of(notes: DataFrame) -> DataFrame:
+    """What a grid has to cover: from 0 or the first onset, if that is before, to a second after
+    the last release."""
+    return notes.groupBy("file_id").agg(F.least(F.lit(0.0), F.min("onset_s")).alias("t_start"), (F.max("offset_s") + 1.0).alias("t_end"))
+
+
+def extend_grid(beats: DataFrame, spans: DataFrame) -> DataFrame:
+    """Beats are added on both sides at the median length of the outer four (0.05 s at least)
+    until the grid covers t_start to t_end; bars go on in the outer meters. Beats are numbered
+    anew from 0. beats: file_id, beat, time_s and any of beat_in_bar, beats_per_bar, beat_unit."""
+    up, down = Window.partitionBy("file_id").orderBy("beat"), Window.partitionBy("file_id").orderBy(F.col("beat").desc())
+    step = F.col("time_s") - F.lag("time_s").over(up)
+    b = beats.select("*", step.alias("_step"), F.row_number().over(up).alias("_up"), F.row_number().over(down).alias("_down"))
+    at = lambda which, k: F.max(F.when(F.col(which) == 1, F.struct(*beats.columns))).alias(k)
+    edge = b.groupBy("file_id").agg(
+        at("_up", "first"),
+        at("_down", "last"),
+        F.greatest(F.percentile(F.when(F.col("_up") <= 5, F.col("_step")), F.lit(0.5)), F.lit(0.05)).alias("ibi0"),
+        F.greatest(F.percentile(F.when(F.col("_down") <= 4, F.col("_step")), F.lit(0.5)), F.lit(0.05)).alias("ibi1"),
+        F.count("*").alias("n"),
+    )
+    e = edge.join(spans, "file_id")
+    many = lambda gap, ibi: F.greatest(F.lit(0), F.ceil(gap / ibi))
+    e = e.withColumn("before", F.least(many(F.col("first.time_s") - F.col("t_start"), F.col("ibi0")), F.lit(MAX_BEATS)))
+    e = e.withColumn("after", F.greatest(F.lit(0), F.least(many(F.col("t_end") - F.col("last.time_s"), F.col("ibi1")), MAX_BEATS - F.col("n") - F.col("before"))))
+
+    def added(edge_name: str, count: str, ibi: str, sign: int) -> DataFrame:
+        k = e.where(F.col(count) > 0).select("*", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))).alias("k"))
+        value = {c: F.col(f"{edge_name}.{c}") for c in beats.columns}
+        value["file_id"], value["beat"] = F.col("file_id"), (F.col(f"{edge_name}.beat") + sign * F.col("k")).cast(beats.schema["beat"].dataType)
+        value["time_s"] = F.col(f"{edge_name}.time_s") + sign * F.col("k") * F.col(ibi)
+        if "beat_in_bar" in value:
+            value["beat_in_bar"] = F.pmod(F.col(f"{edge_name}.beat_in_bar") + sign * F.col("k"), F.col(f"{edge_name}.beats_per_bar")).cast(beats.schema["beat_in_bar"].dataType)
+        return k.select(*(x.alias(c) for c, x in value.items()))
+
+    every = beats.unionByName(added("first", "before", "ibi0", -1)).unionByName(added("last", "after", "ibi1", 1))
+    return every.withColumn("beat", (F.row_number().over(up) - 1).cast(beats.schema["beat"].dataType)).select(beats.columns)
+
+
+def usable_grid(beats: DataFrame, files: DataFrame) -> DataFrame:
+    """Files whose grid has under two beats get beats at 0 and 1 s in 4/4; no grid has over
+    ``MAX_BEATS``. beats: file_id, beat, time_s, beat_in_bar, beats_per_bar and maybe beat_unit."""
+    n = beats.groupBy("file_id").agg(F.count("*").alias("n")).where("n >= 2").select("file_id")
+    bare = files.select("file_id").distinct().join(n, "file_id", "left_anti")
+    at = F.explode(F.array(F.lit(0), F.lit(1))).alias("_k")
+    value = {"file_id": F.col("file_id"), "beat": F.col("_k"), "time_s": F.col("_k"), "beat_in_bar": F.col("_k"), "beats_per_bar": F.lit(4), "beat_unit": F.lit(4)}
+    plain = bare.select("file_id", at).select(*(value[c].cast(beats.schema[c].dataType).alias(c) for c in beats.columns))
+    return beats.where(F.col("beat") < MAX_BEATS).join(n, "file_id", "left_semi").select(beats.columns).unionByName(plain)

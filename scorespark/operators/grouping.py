@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 TOLERANCE_S = 0.035
 
@@ -16,23 +17,26 @@ def _file(*cols):
 def anchored_groups(notes: DataFrame, tolerance_s: float = TOLERANCE_S) -> DataFrame:
     """Adds group_id: a note opens a group if its onset is more than the tolerance after
     the *first* onset of the group before. That is a fold, so each file's rows stream,
-    in order, through one linear pass; memory doesn't grow with the file."""
-    schema = f"{notes.schema.simpleString()[7:-1]},group_id:int"
+    in order, through one linear pass; memory doesn't grow with the file. A note without an onset
+    is in no group (null); notes without a file are a file of their own."""
+    if "group_id" in notes.columns:
+        raise ValueError("the notes have a column group_id already")
+    schema = StructType([*notes.schema.fields, StructField("group_id", IntegerType())])
     ordered = notes.repartition("file_id").sortWithinPartitions("file_id", "onset_s", "pitch", "note_id")
 
     def fold(batches):
-        file, anchor, group = None, 0.0, -1
+        file, begun, anchor, group = None, False, None, -1
         for b in batches:
             ids = []
             for f, t in zip(b.column("file_id").to_pylist(), b.column("onset_s").to_pylist()):
-                if f != file:
-                    file, anchor, group = f, t, 0
-                elif t - anchor > tolerance_s:
+                if not begun or f != file:
+                    file, begun, anchor, group = f, True, None, -1
+                if t is not None and (anchor is None or t - anchor > tolerance_s):
                     anchor, group = t, group + 1
-                ids.append(group)
+                ids.append(None if t is None else group)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int32())], names=[*b.schema.names, "group_id"])
 
-    return ordered.mapInArrow(fold, schema.replace(":", " "))
+    return ordered.mapInArrow(fold, schema)
 
 
 def canonical(notes: DataFrame, tolerance_s: float = TOLERANCE_S) -> DataFrame:

@@ -80,7 +80,10 @@ def forest_from_json(text: str, features: tuple[str, ...] = ()) -> Forest:
             raise ModelError("categorical splits or vector leaves")
         stored = zip(("left", "right", "feature", "value", "default_left"), ("left_children", "right_children", "split_indices", "split_conditions", "default_left"))
         grown.append(_tree({k: t[name] for k, name in stored}, int(output)))
-    base = float(str(params["base_score"]).strip("[]"))
+    try:
+        base = float(str(params["base_score"]).strip("[]"))
+    except ValueError:
+        raise ModelError(f"base score {params['base_score']}: one for all outputs is wanted") from None
     return Forest(grown, base, max(1, int(params.get("num_target", 1))), tuple(features or learner.get("feature_names") or ()), task).check()
 
 

@@ -136,14 +136,12 @@ def decode_files(files: DataFrame, id_col: str = "file_id", content: str = "cont
 
     def run(batches):
         for b in batches:
-            got = []
-            for data in b.column("content").to_pylist():
+            for i in range(b.num_rows):  # a file at a time: one may have many messages
                 try:
-                    got.append((*decode(data or b""), None))
+                    kind, division, found, error = *decode(b.column("content")[i].as_py() or b""), None
                 except MidiError as e:
-                    got.append((None, None, [], str(e)))
-            kinds, divisions, messages, errors = zip(*got) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(kinds, pa.int32()), pa.array(divisions, pa.int32()), pa.array(errors, pa.string()), pa.array(messages, pa.list_(_MESSAGE))], names=["file_id", "format", "division", "error", "messages"])
+                    kind, division, found, error = None, None, [], str(e)
+                yield pa.RecordBatch.from_arrays([b.column("file_id").slice(i, 1), pa.array([kind], pa.int32()), pa.array([division], pa.int32()), pa.array([error], pa.string()), pa.array([found], pa.list_(_MESSAGE))], names=["file_id", "format", "division", "error", "messages"])
 
     return flat.mapInArrow(run, f"file_id {dict(flat.dtypes)['file_id']}, format int, division int, error string, messages array<{_MESSAGE_DDL}>")
 

@@ -1,8 +1,10 @@
 """Causal features of a stream of notes: anchored groups and trailing note counts.
 
 Notes of a file must arrive in order of (onset_s, pitch, note_id); inside a micro-batch any
-order will do. State of a file: the open group's onset and number, and the onsets of
-the trailing window, so it is bounded by the notes of ``width`` seconds.
+order will do. A note that begins before one that was emitted in an earlier micro-batch is late: it
+gets no group and no count. State of a file: the open group's onset and number, and the onsets of
+the trailing window, so it is bounded by the notes of ``width`` seconds; it is dropped when no note
+of the file came for ``idle_ms`` (a file that goes on after that begins anew).
 """
 
 from __future__ import annotations
@@ -20,16 +22,24 @@ OUT = "file_id int, note_id bigint, onset_s double, pitch int, group_id int, tra
 STATE = "anchor double, group int, recent array<double>"
 
 
-def causal_features(notes: DataFrame, tolerance_s: float = TOLERANCE_S, width: float = 3.0) -> DataFrame:
+def causal_features(notes: DataFrame, tolerance_s: float = TOLERANCE_S, width: float = 3.0, idle_ms: int = 3_600_000) -> DataFrame:
     """group_id and trailing: notes that began in [onset - width, onset], up to this note in
     order. Append mode; a row is final when it is emitted."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         anchor, group, recent = state.get if state.exists else (None, -1, [])
         recent = list(recent)
         rows = pd.concat(list(parts)).sort_values(["onset_s", "pitch", "note_id"], kind="stable")
         groups, counts = [], []
+        emitted = recent[-1] if len(recent) else None
         for t in rows["onset_s"]:
+            if emitted is not None and t < emitted:
+                groups.append(None)
+                counts.append(None)
+                continue
             if anchor is None or t - anchor > tolerance_s:
                 anchor, group = t, group + 1
             recent.append(t)
@@ -38,10 +48,11 @@ def causal_features(notes: DataFrame, tolerance_s: float = TOLERANCE_S, width: f
             groups.append(group)
             counts.append(len(recent))
         state.update((anchor, group, recent))
-        yield rows.assign(group_id=groups, trailing=counts)[["file_id", "note_id", "onset_s", "pitch", "group_id", "trailing"]]
+        state.setTimeoutDuration(idle_ms)
+        yield rows.assign(group_id=pd.array(groups, "Int32"), trailing=pd.array(counts, "Int32"))[["file_id", "note_id", "onset_s", "pitch", "group_id", "trailing"]]
 
     flat = notes.select("file_id", "note_id", "onset_s", "pitch").where("file_id is not null and onset_s is not null")
-    return flat.groupBy("file_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return flat.groupBy("file_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def batch_counts(notes: DataFrame, width: float = 3.0) -> DataFrame:

@@ -80,15 +80,18 @@ def _piece(bpm: float, beats: int, m: int, seed: int = 1):
     return t, on, on + dur, pitch
 
 
-@pytest.mark.parametrize(("bpm", "m"), [(80, 4), (100, 3), (120, 4)])
-def test_tracker_finds_beats_and_bars(bpm, m):
-    t, on, off, pitch = _piece(bpm, 64, m)
-    got, per_bar, place = tracking.track(on, off, pitch)
-    hit = sum(np.abs(got - x).min() < 0.07 for x in t)
-    assert 2 * hit / (len(got) + len(t)) > 0.9
-    assert per_bar == m
-    first = [np.abs(t[::m] - x).min() < 0.07 for x in got[place == 0]]
-    assert np.mean(first) > 0.8
+def test_tracker_finds_beats_and_bars(spark):
+    made = {(80, 4): _piece(80, 64, 4), (100, 3): _piece(100, 64, 3), (120, 4): _piece(120, 64, 4)}
+    rows = [(bpm, float(a), float(b), int(c)) for (bpm, _), (_, on, off, pitch) in made.items() for a, b, c in zip(on, off, pitch)]
+    found = tracking.track_beats(spark.createDataFrame(rows, "file_id int, onset_s double, offset_s double, pitch int")).toPandas()
+    for (bpm, m), (t, *_) in made.items():
+        own = found[found["file_id"] == bpm].sort_values("beat")
+        got, place = own["time_s"].to_numpy(), own["beat_in_bar"].to_numpy()
+        hit = sum(np.abs(got - x).min() < 0.07 for x in t)
+        assert 2 * hit / (len(got) + len(t)) > 0.9
+        assert set(own["beats_per_bar"]) == {m}
+        first = [np.abs(t[::m] - x).min() < 0.07 for x in got[place == 0]]
+        assert np.mean(first) > 0.8
 
 
 def test_best_path_equals_a_frame_by_frame_program():
