@@ -181,3 +181,21 @@ def ablation(spark, d):
         row = held.agg(F.lit(name).alias("feature_set"), F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("score") - F.col("velocity"))), 4).alias("mae"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@_query()
+def seven_quantiles(spark, d):
+    """All levels, with rows and columns drawn for each tree and early stopping on the validation files."""
+    n = _with_split(spark, d).select("file_id", "note_id", "split", "pitch", "velocity", "onset_s", "pred").withColumn("w", (F.abs(F.col("pred") - F.col("velocity")) <= 60).cast("double"))
+    features = ["pitch", "pred", "onset_s"]
+    grown = boosting.train_quantiles(
+        n.where("split = 'train'"), features, "velocity", _LEVELS, rounds=6, depth=3, rate=0.3, weight="w", subsample=0.8, colsample=0.8, validation=n.where("split = 'validation'"), patience=3
+    )
+    return trees.score_outputs(n.where("split = 'test'"), grown, features, len(_LEVELS), ascending=True, out="q").select("file_id", "note_id", "q")
+
+
+@_query()
+def gain_importance(spark, d):
+    stats: list = []
+    _learnt(spark, d, ["pitch", "pred", "onset_s"], rounds=5, stats=stats)
+    return reports.gain_table(spark, stats)

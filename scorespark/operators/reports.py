@@ -156,3 +156,10 @@ def importance(grown: list[trees.Tree], features: list[str], rows: DataFrame) ->
     known = rows.sparkSession.createDataFrame(list(weight.items()), "feature string, weight bigint")
     cover = rows.select(*as_number).mapInArrow(run, "feature string, cover bigint").groupBy("feature").agg(F.sum("cover").alias("cover"))
     return known.join(cover, "feature", "left").select("feature", "weight", F.coalesce("cover", F.lit(0)).alias("cover")).orderBy(F.desc("cover"), "feature")
+
+
+def gain_table(spark, stats: list[tuple[str, float, float]]) -> DataFrame:
+    """feature, weight, gain, total_gain, cover (means over its splits but for total_gain), the most
+    gaining first. stats: what ``boosting.train`` notes, one entry a split."""
+    rows = spark.createDataFrame(stats, "feature string, gain double, cover double")
+    return rows.groupBy("feature").agg(F.count("*").alias("weight"), F.avg("gain").alias("gain"), F.sum("gain").alias("total_gain"), F.avg("cover").alias("cover")).orderBy(F.desc("gain"), "feature")

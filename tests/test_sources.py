@@ -93,6 +93,33 @@ def test_boosting_without_rows(spark):
     assert boosting.train(spark.createDataFrame([], "a double, y double"), ["a"], "y") == ([], 0.0)
 
 
+def test_kept_margins_change_nothing(spark, monkeypatch):
+    df = _data(spark, 400)
+    once = boosting.train(df, ["a", "b"], "y", rounds=7, depth=2, rate=0.4)
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    often = boosting.train(df, ["a", "b"], "y", rounds=7, depth=2, rate=0.4)
+    assert [t.feature for t in once[0]] == [t.feature for t in often[0]]
+    assert np.allclose([v for t in once[0] for v in t.value], [v for t in often[0] for v in t.value], atol=1e-4)
+
+
+def test_boosting_stops_early(spark):
+    """On noise there is nothing to learn: the validation loss rises soon."""
+    rng = np.random.default_rng(1)
+    made = lambda n: spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(n, 3))], "a double, b double, y double")
+    stats: list = []
+    grown, _ = boosting.train(made(300), ["a", "b"], "y", rounds=12, depth=3, rate=0.5, validation=made(300), patience=2, stats=stats)
+    assert 1 <= len(grown) < 10 and {s[0] for s in stats} <= {"a", "b"} and all(g > 0 for _, g, _ in stats)
+
+
+def test_boosting_weights_and_draws(spark):
+    """Rows of weight 0 teach nothing; drawn rows and columns still learn the step."""
+    df = _data(spark, 800).withColumn("w", F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0)).withColumn("y", F.when(F.col("id") % 2 == 0, F.col("y")).otherwise(1000.0))
+    grown, base = boosting.train(df, ["a", "b"], "y", rounds=12, depth=2, rate=0.5, weight="w", subsample=0.7, colsample=0.5, seed=3)
+    kept = trees.score(df.where("w > 0"), grown, ["a", "b"], base)
+    assert base < 10 and kept.agg(F.avg((F.col("score") - F.col("y")) ** 2)).first()[0] < 1.5
+    assert {sum(x >= 0 for x in t.left) > 0 for t in grown} == {True}
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     notes = adapters.loose_notes(spark, sf_dir)
     cuts = [0.0, 1.0, 2.5, 5.0]
