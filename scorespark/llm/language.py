@@ -45,7 +45,7 @@ def grams(text: str) -> np.ndarray:
     h = b * np.uint32(0x85EBCA6B)
     for k in (1, 2, 3):
         nxt = np.zeros(n, np.uint32)
-        nxt[: n - k] = b[k:]
+        nxt[: max(0, n - k)] = b[k:]
         h = (h ^ (nxt + np.uint32(k << 8))) * np.uint32(0x01000193)
         out[:, k - 1] = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
     return out.ravel()

@@ -7,7 +7,8 @@ gives the expected grade and the tail probability that selection uses.
 Defined cases: null and empty texts have only the shape features of an empty text;
 rows without a rating are not learnt from; with fewer than two grades among the
 ratings every document gets tail probability 1 (nothing is rejected); repeated rows
-are scored alike; extra columns are kept by ``select_documents`` and ignored by
+are scored alike, also where ids are null or repeated; very long texts are read whole; scores that tie
+with the threshold are selected; an empty table gives no rows; extra columns are kept by ``select_documents`` and ignored by
 ``score_documents``.
 """
 

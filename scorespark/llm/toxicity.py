@@ -12,7 +12,8 @@ space counts as overlapping stretches of ``STRETCH``, each a word of its own, so
 
 Defined cases: null and empty texts have no words and get the score of the model's
 bias; with one class only (or no labels) the score is 0 for all; repeated and tied rows
-are scored alike; unlabelled rows and null ids are scored, not learnt from; extra
+are scored alike, a score that ties with the threshold is predicted 1; very long texts are
+read whole; an empty table gives no rows; unlabelled rows and null ids are scored, not learnt from; extra
 columns are ignored.
 """
 

@@ -14,7 +14,8 @@ popped pieces; without one, v has no link and a word that fails there is unknown
 token).
 
 Defined cases: null and empty texts count 0; a word with bytes that no entry begins
-with is one unknown token; repeated rows count alike; extra columns are ignored.
+with is one unknown token; repeated rows count alike, ids may be null; very long texts and words
+are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
