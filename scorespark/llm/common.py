@@ -39,6 +39,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """_row, doc (a struct of all columns, whatever their names): rows with a number that is fixed
+    once they are written."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return stash(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*cols).alias("doc")), name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (replicated by the shared store), eager."""
     shared_dir(df.sparkSession)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import numbered, stash, table
 
 WINDOW = 10
 BROADCAST_WINDOWS = 200_000
@@ -177,11 +177,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without a match."""
-    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    matches, index = _found(rows, items, window, _phrase_places, "_row", text_col, BROADCAST_WINDOWS)
+    rows = numbered(docs, "rows")
+    flat = rows.select("_row", F.col("doc")[text_col].alias("text"))
+    matches, index = _found(flat, items, window, _phrase_places, "_row", "text", BROADCAST_WINDOWS)
     bad = matches.select("row").distinct().join(index.select("row", F.col("id").alias("_row")), "row").select("_row")
     # these numbers grow with the input, so they are never broadcast, at any size
-    return rows.join(bad.hint("shuffle_hash"), "_row", "left_anti").select(docs.columns)
+    return rows.join(bad.hint("shuffle_hash"), "_row", "left_anti").select("doc.*")
 
 
 def op4_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:

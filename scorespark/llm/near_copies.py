@@ -4,11 +4,11 @@ operator of ``simhash`` for a wider budget, as the pipeline needs it.
 Two texts are near copies where the sets of their shingles' XXH64 have a Jaccard similarity
 of ``LEAST`` = 4/5 or more. The SimHash bits of such a pair differ with a probability of
 0.15 each, about 10 of 64: a trie over one fingerprint can't prune before it has met nearly
-all pairs. So a text has ``TABLES`` = 96 prefixes of 16 bits and a fingerprint of 64 bits, of
-1600 SimHash bits in all. Texts that agree in one of the prefixes form a binary trie over their
+all pairs. So a text has ``TABLES`` = 64 prefixes of 16 bits and a fingerprint of 64 bits, of
+1088 SimHash bits in all. Texts that agree in one of the prefixes form a binary trie over their
 fingerprints, whose node pairs are traversed together (``simhash.trie_links``) and pruned
 beyond ``BUDGET`` = 20 differing bits. By calculation a pair of similarity 0.8 is missed with
-probability 0.001, one of 0.85 with 0.00002; a row only escapes if it is missed with all its
+probability 0.008, one of 0.85 with 0.0006; a row only escapes if it is missed with all its
 near copies. What is found is confirmed by the whole shingle sets, so
 nothing less similar is linked. The texts of a prefix that more than ``CROWD`` share are gathered
 with their sets, and its components found there by an inverted index: a few texts are compared
@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stash, texts_of
+from .common import numbered, partitions, stash, texts_of
 from .simhash import components, shingle_hashes, trie_links
 
 SHINGLE = 5
 LEAST = (4, 5)
-TABLES, PREFIX_BITS, BUDGET = 96, 16, 20
-CROWD, PIVOTS = 64, 8
+TABLES, PREFIX_BITS, BUDGET = 64, 16, 20
+CROWD, PIVOTS = 16, 8
 #: Rows of shingle sets that are handed to Python at once: a set may have megabytes.
 SETS_AT_ONCE = 256
 _SEEDS = np.random.default_rng(11).integers(0, 2**63, (TABLES * PREFIX_BITS // 64 + 1, 2), dtype=np.uint64)
@@ -78,7 +78,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def sketches(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, id, node, size, fp, keys."""
-    flat = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    flat = rows.select(F.col("_row").alias("row"), F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
 
     def run(batches):
         for b in batches:
@@ -204,7 +204,7 @@ def links(rows: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFram
     crowd = found.where("crowd").select(F.col("u").alias("key"), F.col("v").alias("node"))
     named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(crowd.select("node")).distinct()
     wanted = nodes.select("node", F.col("row").alias("_row")).join(named.hint("shuffle_hash"), "node", "left_semi")
-    texts = rows.select("_row", F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "_row")
+    texts = rows.select("_row", F.col("doc")[text_col].alias("text")).join(wanted.hint("shuffle_hash"), "_row")
     sets = stash(texts.select("node", "text").mapInArrow(_sets, "node bigint, shingles binary"), "shingles")
     one = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u")
     two = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
@@ -222,7 +222,7 @@ def links(rows: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFram
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each component."""
-    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs, "rows")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     found = sketches(rows, id_col, text_col).groupBy("node").agg(best, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = stash(found.select("node", "best", "best.row", "size", "fp", "keys"), "nodes")
@@ -230,4 +230,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rooted = nodes.join(comp.hint("merge"), nodes.node == comp.node, "left").select(F.coalesce("root", nodes.node).alias("root"), "best")
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
     # these numbers grow with the input, so they are never broadcast, at any size
-    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(docs.columns)
+    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select("doc.*")

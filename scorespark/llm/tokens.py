@@ -26,7 +26,7 @@ WORD_BPE = "word_bpe_49k.json"
 #: Longer words are not cached.
 SHORT = 48
 #: Texts are encoded together up to about so many bytes.
-PORTION = 16_000_000
+PORTION = 6_000_000
 #: A run of Latin letters (but for capital dotted I, whose lower case is two characters)
 #: before one of the marks or the piece's end is one pre-token.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-įı-ſ]+")
@@ -52,7 +52,7 @@ def _byte_table() -> dict[int, str]:
 class Encoder:
     """Ids as unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
