@@ -158,7 +158,7 @@ def retime(notes: DataFrame, tempos: DataFrame, ticks_per_beat: int = 480) -> Da
     offset_ms and more, among it no tick columns."""
     extra = [c for c in notes.columns if c not in ("onset_tick", "offset_tick")]
     n = notes.select(extra).withColumn("_on", F.col("base_onset_s") + F.col("offset_ms") / 1000.0)
-    n = n.withColumn("_off", F.col("_on") + F.col("offset_s") - F.col("onset_s"))
+    n = n.withColumn("_off", F.col("_on") + (F.col("offset_s") - F.col("onset_s")))
     n = grid.to_ticks(n, tempos, "_on", ticks_per_beat).withColumnRenamed("tick", "_ont")
     n = grid.to_ticks(n, tempos, "_off", ticks_per_beat).withColumnRenamed("tick", "_offt")
     on = F.greatest(F.rint("_ont"), F.lit(0.0)).cast("long")
