@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(base)
@@ -68,18 +71,57 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_range_bucket(df: DataFrame, id_col: str, n: int, out: str = "bucket") -> DataFrame:
-    """Adds an int bucket that ascends with the id, about equally many rows in each.
-    The cut points (n - 1 numbers) come from a mergeable quantile sketch; null ids
-    are in bucket 0. Equal ids share a bucket."""
-    cuts = sorted(set(df.approxQuantile(id_col, [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    key = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
-    keyed = df.withColumn("_key", key)
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) < 3:
-        return keyed.withColumn(out, F.lit(0)).drop("_key")
-    b = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket")
-    return b.transform(keyed).withColumn(out, F.col("_bucket").cast("int")).drop("_key", "_bucket")
+_NO_ID = -1.7976931348623157e308
+
+
+def id_number(df: DataFrame, id_col: str) -> Column:
+    """A double that ascends with the id (ties allowed); null ids come first. Of texts
+    the six bytes after the prefix that all of them share."""
+    kind, col = dict(df.dtypes)[id_col], F.col(id_col)
+    if kind in ("date", "timestamp"):
+        col = col.cast("timestamp").cast("double")
+    elif kind == "string":
+        ends = df.agg(F.min(id_col), F.max(id_col)).first()
+        low, high = ((x or "").encode() for x in ends)
+        same = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+        part = F.hex(F.substring(F.encode(col, "UTF-8"), same + 1, 6))
+        col = F.conv(F.rpad(part, 12, "0"), 16, 10).cast("double")
+    else:
+        col = col.cast("double")
+    return F.coalesce(col, F.lit(_NO_ID))
+
+
+def with_range_bucket(df: DataFrame, id_col: str, n: int, text_col: str = "text", out: str = "bucket") -> tuple[DataFrame, int]:
+    """Adds an int bucket (from 0) that ascends with the id, about n of them with about equally
+    many rows each, and ``_order``, which orders rows of equal id; returns the number of
+    buckets too. The cut points come from a mergeable quantile sketch. Equal ids share a
+    bucket, but for an id (or none) that has several buckets' worth of rows: these are
+    spread in the order of their texts' hashes, and ``_order`` is that hash."""
+    keyed = df.withColumn("_key", id_number(df, id_col))
+    found = sorted(keyed.approxQuantile("_key", [i / n for i in range(1, n)], 0.25 / n)) if n > 1 else []
+    times = Counter(found)
+    hot = [c for c, k in times.items() if k > 1]
+    if hot:  # unlike ids may share a number
+        one = keyed.where(F.col("_key").isin(hot)).groupBy("_key").agg((F.min(id_col).eqNullSafe(F.max(id_col))).alias("one")).where("one").collect()
+        hot = [r["_key"] for r in one]
+    cuts = sorted(times)
+    if not cuts:
+        return keyed.withColumn(out, F.lit(0)).withColumn("_order", F.lit(0).cast("bigint")).drop("_key"), 1
+    b = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_region")
+    placed = b.transform(keyed).withColumn("_region", F.col("_region").cast("int"))
+    if not hot:
+        return placed.withColumn(out, F.col("_region")).withColumn("_order", F.lit(0).cast("bigint")).drop("_key", "_region"), len(cuts) + 1
+    parts = [times[c] if c in hot else 0 for c in cuts]
+    first, at = [0], 1
+    for k in parts:
+        first.append(at)
+        at += k + 1
+    share = F.get(F.lit([0, *parts]), F.col("_region"))
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    sub = F.least(F.floor((hashed / 2.0**64 + 0.5) * share), share - 1).cast("int")
+    spread = F.when((share > 0) & F.col("_key").isin(hot), sub).otherwise(share)
+    placed = placed.withColumn(out, (F.get(F.lit(first), F.col("_region")) + spread).cast("int"))
+    return placed.withColumn("_order", hashed).drop("_key", "_region"), at
 
 
 def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:

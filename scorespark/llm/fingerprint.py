@@ -7,9 +7,11 @@ They estimate resemblance, containment and the number of distinct shingles; with
 most k shingles all three are exact.
 
 Defined cases: null text is empty; two empty sketches resemble each other fully, an
-empty and another not at all; equal texts have equal fingerprints; among rows of equal
-id the order is that of their texts; null ids come first; the next of the last document
-is the first, of an only one itself; extra columns are ignored.
+empty and another not at all; equal texts have equal fingerprints; a very long text is
+read whole, as one row; ids may be numbers, texts or dates; rows of equal id are
+ordered by their texts (by the texts' hashes where one id has several tasks' worth of
+rows); null ids come first; the next of the last document is the first, of an only one
+itself; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,24 +133,24 @@ def merge_fingerprints(prints: DataFrame, key: str, col: str = "fingerprint") ->
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, bucket, tail: sorted by id within buckets, and buckets within
-    partitions. The row after a bucket's last one (tail = 1) follows it, so that every
-    document meets its successor in one pass and one shuffle."""
+    partitions, four to each. The row after a bucket's last one (tail = 1) follows it, so
+    that every document meets its successor in one pass and one shuffle."""
     spark = docs.sparkSession
     flat = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = partitions(spark)
-    keyed = with_range_bucket(flat, "id", 4 * n)
-    firsts = sorted(keyed.groupBy("bucket").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("has_null")).collect(), key=lambda r: r["bucket"])
-    schema = f"fid {dict(flat.dtypes)['id']}, to int"
-    rows = [(None if r["has_null"] else r["id"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
+    keyed, n_buckets = with_range_bucket(flat, "id", 4 * partitions(spark))
+    least = F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "_order")).alias("least")
+    firsts = sorted(keyed.groupBy("bucket").agg(least).collect(), key=lambda r: r["bucket"])
+    schema = f"fid {dict(flat.dtypes)['id']}, forder bigint, to int"
+    rows = [(r["least"]["id"], r["least"]["_order"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
     heads = F.broadcast(spark.createDataFrame(rows, schema))  # one row a bucket
-    spread = keyed.join(heads, F.col("id").eqNullSafe(F.col("fid")), "left")
+    spread = keyed.join(heads, F.col("id").eqNullSafe(F.col("fid")) & (F.col("_order") == F.col("forder")), "left")
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("tail"))
     there = F.struct(F.col("to").alias("bucket"), F.lit(1).alias("tail"))
+    placed = spread.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))))
     return (
-        spread.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))))
-        .select("id", "text", "place.bucket", "place.tail")
-        .repartition(n, "bucket")
-        .sortWithinPartitions("bucket", "tail", "id", "text")
+        placed.select("id", "text", "_order", "place.bucket", "place.tail", F.shiftright("place.bucket", 2).alias("task"))
+        .repartitionById(-(-n_buckets // 4), "task")
+        .sortWithinPartitions("bucket", "tail", "id", "_order", "text")
     )
 
 
@@ -176,17 +178,16 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     s = sketch(t, hashes)
                 prev = (i, t, s, bucket, tail)
                 hashes.trim()
-            yield _rows(ids, cols, kind)
+            yield _rows(ids, cols, b.schema.field("id").type)
             ids, cols = [], []
 
     return spread.mapInArrow(run, f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
 
 
-def _rows(ids: list, cols: list[tuple], kind: str) -> pa.RecordBatch:
+def _rows(ids: list, cols: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    own = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return pa.RecordBatch.from_arrays([pa.array(ids, own), *(pa.array([c[j] for c in cols], t) for j, t in enumerate(types))], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array([c[j] for c in cols], t) for j, t in enumerate(types))], names=names)
 
 
 def op3_fingerprint_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:

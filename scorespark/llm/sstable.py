@@ -16,9 +16,11 @@ and reads that block only. Layout, all integers little-endian, varint = LEB128:
 Keys keep order as bytes: a null is 00, an integer 01 and 8 bytes (sign flipped), a
 string 02 and its UTF-8. The value is the document's ids, 2 or 4 bytes each.
 
-Defined cases: null and empty texts have the end id only; rows of equal id are
-neighbours, ordered by text, and a lookup returns all of them; null ids come first; an
-empty table makes no shard; extra columns are ignored. A task writes each shard under a
+Defined cases: null and empty texts have the end id only; a very long text is one entry; ids are
+integers or texts; rows of equal id are neighbours, ordered by text (by the texts' hashes
+where one id has several shards' worth of rows), and a lookup returns all of them; null
+ids come first; an id that the id width can't hold is an error; an empty table makes no
+shard; extra columns are ignored. A task writes each shard under a
 fresh name and reports it in the manifest, so a repeated or speculative attempt leaves
 an unlisted file and never a wrong one.
 """
@@ -110,6 +112,8 @@ class SSTableWriter:
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if self.seen and key < self.seen[-1]:
             raise ValueError("keys must ascend")
+        if len(ids) and int(ids.max()) >> 8 * self.id_width:
+            raise ValueError(f"id {int(ids.max())} needs more than {self.id_width} bytes")
         value = ids.astype(f"<u{self.id_width}").tobytes()
         shared = 0
         if self.first is None:
@@ -217,15 +221,19 @@ class SSTableReader:
 _MANIFEST = "bucket int, path string, first binary, n_entries bigint, n_ids bigint, n_bytes bigint"
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", id_width: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", id_width: int | None = None) -> DataFrame:
     """Writes ``docs`` as shards below ``folder`` (a URI that all executors reach), in
     ascending id order over all shards, and returns the manifest: bucket (ascends with
-    the ids), path, first key, entries, ids, bytes. The work is done when it returns."""
+    the ids), path, first key, entries, ids, bytes. The work is done when it returns. ``id_width``: by
+    default as many bytes as the vocabulary's ids and end_id need, 2 or 4."""
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path(BYTE_BPE)
-    n = partitions(spark)
+    if id_width is None:
+        id_width = 2 if max(encoder(tokenizer).tok.get_vocab_size(), end_id or 0) < 1 << 16 else 4
     flat = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spread = with_range_bucket(flat, "id", 2 * n).repartition(n, "bucket").sortWithinPartitions("bucket", "id", "text")
+    keyed, n_buckets = with_range_bucket(flat, "id", 2 * partitions(spark))
+    dealt = keyed.withColumn("task", F.shiftright("bucket", 1)).repartitionById(-(-n_buckets // 2), "task")
+    spread = dealt.sortWithinPartitions("bucket", "id", "_order", "text").select("id", "text", "bucket")
     tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
 
     def run(batches):
@@ -241,14 +249,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             out.append((now[0], now[1], writer.seen[0], writer.n_entries, writer.n_ids, size))
 
         for b in batches:
-            for i, t, bucket in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("bucket").to_pylist()):
+            for i, ids, bucket in zip(b.column("id").to_pylist(), enc.each(b.column("text")), b.column("bucket").to_pylist()):
                 if now is None or now[0] != bucket:
                     if writer:
                         done()
                     name = f"ids-{bucket:06d}-{uuid.uuid4().hex}.sst"
                     now, sink = (bucket, name), store.open_output_stream(f"{base}/{name}")
                     writer = SSTableWriter(sink, id_width)
-                writer.add(key_bytes(i), np.concatenate([np.frombuffer(enc.ids(t), "<u4"), tail]))
+                writer.add(key_bytes(i), np.concatenate([ids, tail]))
         if writer:
             done()
         types = [pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
