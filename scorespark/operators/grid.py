@@ -177,7 +177,9 @@ def to_ticks(points: DataFrame, tempos: DataFrame, seconds: str = "seconds", tic
 
 def regular_grid(spans: DataFrame, bpm: float, beats_per_bar: int = 4) -> DataFrame:
     """Beats at one tempo from t_start until t_end is reached. spans: file_id, t_start, t_end."""
-    n = F.least(F.lit(MAX_BEATS), F.greatest(F.lit(2), F.ceil((F.col("t_end") - F.col("t_start")) * F.lit(bpm / 60.0)) + 1)).cast("int")
+    # not times bpm/60: that quotient is rounded, and a span of whole beats would get one more
+    many = F.ceil((F.col("t_end") - F.col("t_start")) * F.lit(float(bpm)) / F.lit(60.0))
+    n = F.least(F.lit(MAX_BEATS), F.greatest(F.lit(2), many + 1)).cast("int")
     beat = spans.select("file_id", "t_start", F.explode(F.sequence(F.lit(0), n - 1)).alias("beat"))
     return beat.select("file_id", "beat", (F.col("t_start") + F.col("beat") * F.lit(60.0 / bpm)).alias("time_s"), (F.col("beat") % beats_per_bar).cast("int").alias("beat_in_bar"), F.lit(beats_per_bar).alias("beats_per_bar"))
 

@@ -44,6 +44,14 @@ def test_extended_grid_covers_and_keeps_the_meter(spark):
     assert all((b["beat_in_bar"] - a["beat_in_bar"]) % 3 == 1 for a, b in zip(got, got[1:]))
 
 
+def test_a_span_of_whole_beats_gets_no_beat_more(spark):
+    """At 100 a minute 4.2 s are 7 beats, and 13.8 s are 23; 4.201 s need one more."""
+    spans = spark.createDataFrame([(1, 0.0, 4.2), (2, 0.0, 13.8), (3, 0.001, 4.201), (4, 0.0, 4.201), (5, 1.0, 1.0)], "file_id int, t_start double, t_end double")
+    g = grid.regular_grid(spans, 100.0, 3).groupBy("file_id").agg(F.count("*").alias("n"), F.max("time_s").alias("last"))
+    got = {r["file_id"]: (r["n"], round(r["last"], 6)) for r in g.collect()}
+    assert got == {1: (8, 4.2), 2: (24, 13.8), 3: (8, 4.201), 4: (9, 4.8), 5: (2, 1.6)}
+
+
 def test_grids_without_beats(spark):
     g = spark.createDataFrame([(1, 0, 2.0, 0, 3)], BEATS)
     got = grid.usable_grid(g, spark.createDataFrame([(1,), (2,)], "file_id int")).orderBy("file_id", "beat").collect()
