@@ -33,15 +33,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: cuts the
-    lineage, and a lost executor costs one reread instead of the work before."""
+    lineage, and a lost executor costs one reread instead of the work before.
+    rows_a_file: at most so many (0: any number), where each becomes many rows in the task that reads it."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stash(df: DataFrame) -> None:
+    """Removes what ``stash`` wrote; nothing that is still to be run may read ``df``."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """_row, doc (a struct of all columns, whatever their names): rows with a number that is fixed
     once they are written."""

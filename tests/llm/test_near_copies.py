@@ -1,5 +1,7 @@
 """The pipeline's near-copy stage against all pairs."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -92,3 +94,71 @@ def test_crowds_are_joined(spark):
     rows = [(i, edited(rng, words, int(rng.integers(1, 9)))) for i in range(400)]
     got = near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == [rows[i][0] for i in brute_kept(rows)]
+
+
+def near_set(rng, s, n):
+    return np.unique(np.concatenate([s[n:], rng.integers(0, 2**63, n, dtype=np.uint64)]))
+
+
+def sketch(sets):
+    bits = np.array([near_copies.simhash_bits(s) for s in sets]).view(np.int64)
+    return np.array([len(s) for s in sets], np.int32), bits[:, 0], bits[:, 9]
+
+
+@pytest.mark.parametrize("many", [300, 1500])
+def test_unlike_texts_of_a_prefix_are_not_gathered(many):
+    """In large tables dozens share a prefix by chance: only the near copies among them are handed on."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(many)]
+    sets += [near_set(rng, sets[i], 3) for i in range(10)]
+    n = len(sets)
+    u, v = near_copies.bucket_stars(np.zeros(n, np.int32), np.arange(n), *sketch(sets))
+    found = {tuple(sorted(x)) for x in zip(u.tolist(), v.tolist())}
+    assert found >= {(i, many + i) for i in range(10)} and len(found) <= 12  # by chance one pair of 4 million
+
+
+@pytest.mark.parametrize("crowd", [near_copies.CROWD, 20])
+def test_stars_connect_what_near_pairs_connect(monkeypatch, crowd):
+    """Groups of near copies, also chains, in two prefixes, traversed and by pivots."""
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    rng = np.random.default_rng(4)
+    sets = []
+    for members in (1, 1, 90, 40, 3, 1, 2, 60):
+        sets.append(np.unique(rng.integers(0, 2**63, 120, dtype=np.uint64)))
+        for _ in range(members - 1):
+            sets.append(near_set(rng, sets[-1], int(rng.integers(1, 25))))
+    n = len(sets)
+    at = rng.permutation(n)
+    sets = [sets[i] for i in at]
+    key = rng.integers(0, 2, n).astype(np.int32)
+    size, fp, more = sketch(sets)
+    u, v = near_copies.bucket_stars(key, np.arange(n), size, fp, more)
+    i, j = np.triu_indices(n, 1)
+    ok = (key[i] == key[j]) & near_copies._near(i, j, size, fp.view(np.uint64), more.view(np.uint64))
+    assert ok.sum() > 200 and len(u) < n
+    roots = [near_copies.stars(n, [x]) for x in ((i[ok], j[ok]), (u, v))]
+    assert (roots[0] == roots[1]).all()
+
+
+def test_similar_sets_by_index():
+    rng = np.random.default_rng(6)
+    sets = []
+    for members in (30, 1, 9, 2, 1, 5):
+        sets.append(np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64)))
+        for _ in range(members - 1):
+            sets.append(near_set(rng, sets[-1], int(rng.integers(1, 8))))
+    n, sets = len(sets), [sets[i] for i in rng.permutation(len(sets))]
+    want = [(i, j) for i in range(n) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    roots = [near_copies.stars(n, [tuple(np.array(x).T)]) for x in (want, near_copies.similar_links(sets))]
+    assert (roots[0] == roots[1]).all() and len(want) > 30
+
+
+def test_rows_by_bitmap_and_nothing_left_behind(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id * 12345678901 % 1000003 + (id % 3 << 33) as _row", "id").distinct()
+    chosen = rows.where("id % 7 = 0 or id > 900").select(rows._row.alias("row"))
+    assert sorted(r["id"] for r in near_copies.only_rows(rows, chosen).collect()) == [i for i in range(1000) if i % 7 == 0 or i > 900]
+    kept = common.stash(rows, "bitmap-test", 100)
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert len(kept.inputFiles()) >= 10 and os.path.isdir(folder)
+    common.drop_stash(kept)
+    assert not os.path.exists(folder)
