@@ -263,8 +263,8 @@ def _similar(batches):
 
 def only_rows(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """Those of ``rows`` whose _row is one of the column ``row`` of ``chosen``. The numbers are told by a
-    bitmap of 64 rows a word, so that a table's rows needn't be moved; it has a bit for each row, with
-    its own overhead some 10 MB for the rows of 30 GB."""
+    bitmap of 64 rows a word, so that a table's rows needn't be moved; it has a bit for each row, by
+    calculation some 10 MB with its overhead for the rows of 30 GB (not measured)."""
     bit = F.expr("shiftleft(1L, cast(row & 63 as int))")
     words = chosen.groupBy(F.shiftrightunsigned("row", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     told = rows.join(F.broadcast(words), F.shiftrightunsigned("_row", 6) == F.col("_word"))
